@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import ratio
-from .joins import null_safe_join
-from .ranked import group_quantiles
+from .joins import all_combinations, null_safe_join
+from .ranked import group_quantiles, running_weight
 
 
 def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,7 +91,7 @@ def append_totals(df: DataFrame, keys: Sequence[str], label: str, value: str, to
 def row_of_max(df: DataFrame, by: Sequence[str], value: str, tie: str) -> DataFrame:
     """The row with the group's largest value; the smallest `tie` wins a tie."""
     rest = [c for c in df.columns if c not in (*by, value, tie)]
-    best = df.groupBy(*by).agg(
+    best = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.min(F.struct((-F.col(value)).alias("_v"), F.col(tie).alias(tie), *rest, value)).alias("_row"))
     return best.select(*[F.col(c) if c in by else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
@@ -148,8 +148,6 @@ def mapped_counts(counts: DataFrame, outer: str, mapping: DataFrame) -> DataFram
 
 def histogram(df: DataFrame, bin_column: Column, cumulative: bool = False, name: str = "bin") -> DataFrame:
     """Rows per bin; `cumulative` adds the share of rows up to each bin."""
-    from .ranked import running_weight
-
     counts = df.select(bin_column.alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(
         F.count(F.lit(1)).alias("n"))
     if not cumulative:
@@ -228,8 +226,6 @@ def confusion(df: DataFrame, predicted: str, actual: str) -> DataFrame:
 
     `share` is normalised per predicted label and 0 where that label was never predicted.
     """
-    from .joins import all_combinations
-
     known = known_keys(df, [predicted, actual])
     counts = known.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))

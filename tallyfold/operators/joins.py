@@ -71,6 +71,8 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     never reaches one task as rows.
     """
     keys, rest = list(keys), [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     ranked = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(cols)], *rest)
     pick = F.max(ranked) if last else F.min(ranked)
@@ -81,7 +83,7 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
 def drop_duplicated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Only the rows whose key occurs once."""
     keys, rest = list(keys), [c for c in df.columns if c not in keys]
-    packed = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*rest)).alias("_row"))
+    packed = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*(rest or keys))).alias("_row"))
     return packed.where("_n = 1").select(
         *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns]
     )
