@@ -11,6 +11,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _wall_clock(c: Column | str) -> Column:
+    return _col(c).cast("timestamp_ntz")
+
+
+def _moment(at: datetime) -> Column:
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def period(c: Column | str, unit: str = "year") -> Column:
     """Year as an integer, or the first day of the month or other unit."""
     return F.year(_col(c)) if unit == "year" else F.date_trunc(unit, _col(c)).cast("date")
@@ -21,14 +29,13 @@ def in_days(c: Column | str, start: str, end: str) -> Column:
     first, last = (datetime.strptime(d, "%Y-%m-%d") for d in (start, end))
     if first > last:
         raise ValueError("start is after end")
-    c = _col(c)
-    return (c >= F.lit(first)) & (c < F.lit(last + timedelta(days=1)))
+    return (_wall_clock(c) >= _moment(first)) & (_wall_clock(c) < _moment(last + timedelta(days=1)))
 
 
 def in_last_days(c: Column | str, days: int, now: datetime) -> Column:
-    c = _col(c)
-    return (c >= F.lit(now - timedelta(days=days))) & (c <= F.lit(now))
+    return (_wall_clock(c) >= _moment(now - timedelta(days=days))) & (_wall_clock(c) <= _moment(now))
 
 
 def seconds_between(start: Column | str, end: Column | str) -> Column:
-    return (F.unix_micros(_col(end)) - F.unix_micros(_col(start))) / 1e6
+    first, last = (F.unix_micros(_col(c).cast("timestamp")) for c in (start, end))
+    return (last - first) / 1e6

@@ -61,7 +61,7 @@ def has_keyword(c: Column | str, words: Sequence[str], whole_word: bool = False)
     """Does the text hold any of `words`, ignoring case; null text holds none."""
     pattern = "|".join(re.escape(w.lower()) for w in words)
     if whole_word:
-        pattern = rf"\b(?:{pattern})\b"
+        pattern = rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{pattern})(?:$|[^\p{{L}}\p{{N}}_])"
     return F.coalesce(F.lower(_col(c)).rlike(pattern), F.lit(False))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.joins import first_row
@@ -31,25 +31,31 @@ def carry_on(df: DataFrame, done: DataFrame, key: str, work: Callable[[DataFrame
 
 
 def isolated(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType) -> DataFrame:
-    """Runs `work` row by row inside Arrow batches; a row that fails gets nulls and its error.
+    """Runs `work` on Arrow batches; a row that makes it fail gets nulls and its error.
 
-    `schema` is what `work` returns for a one-row frame; `status` and `error` are added.
+    `work` returns one row per row it gets, with the columns of `schema`;
+    `status` and `error` are added. A failing batch is halved until the rows at
+    fault stand alone, so the others cost little more than without failures.
     """
     full = StructType([*schema.fields, StructField("status", StringType()), StructField("error", StringType())])
     names = [f.name for f in schema.fields]
 
-    def run(parts):
+    def attempt(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield work(pdf)[names].assign(status="ok", error=None)
+        except Exception as e:  # whatever one item raises must not end the others
+            if len(pdf) > 1:
+                half = len(pdf) // 2
+                yield from attempt(pdf.iloc[:half])
+                yield from attempt(pdf.iloc[half:])
+            else:
+                kept = {n: pdf[n].to_list() if n in pdf.columns else [None] for n in names}
+                yield pd.DataFrame(kept).assign(status="failed", error=f"{type(e).__name__}: {e}")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
-            for i in range(len(pdf)):
-                row = pdf.iloc[[i]]
-                try:
-                    out.append(work(row)[names].assign(status="ok", error=None))
-                except Exception as e:  # any failure of one item must not end the others
-                    blank = row.reindex(columns=names).copy()
-                    blank[[n for n in names if n not in pdf.columns]] = None
-                    out.append(blank.assign(status="failed", error=f"{type(e).__name__}: {e}"))
-            yield pd.concat(out) if out else pd.DataFrame(columns=[f.name for f in full.fields])
+            if len(pdf):
+                yield from attempt(pdf)
 
     return df.mapInPandas(run, full)
 
