@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,7 +48,8 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     if by:
         out = null_safe_join(base, quartiles, by, "left")
     else:
-        out = base.withColumns({n: quartiles.select(n).scalar() for n in names})
+        found = quartiles.select(F.struct(*names)).scalar()
+        out = base.withColumns({n: found[n] for n in names})
     return out.select(*by, "count", "mean", "std", "min", *names, "max")
 
 
@@ -152,9 +154,8 @@ def histogram(df: DataFrame, bin_column: Column, cumulative: bool = False, name:
         F.count(F.lit(1)).alias("n"))
     if not cumulative:
         return counts
-    total = counts.agg(F.sum("n").alias("t")).scalar()
     ranked = running_weight(counts, [name], weight="n")
-    return ranked.select(name, "n", ((F.col("_before") + F.col("n")) / total).alias("cumulative_share"))
+    return ranked.select(name, "n", ((F.col("_before") + F.col("n")) / F.col("_total")).alias("cumulative_share"))
 
 
 def histogram_2d(df: DataFrame, x: Column, y: Column) -> DataFrame:
@@ -169,38 +170,42 @@ def flag_counts(df: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
     return df.agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
 
 
+def _found_items(tables: Mapping[str, DataFrame], group: str, item: str) -> DataFrame:
+    """Each (group, item) once, with a flag per table that has it."""
+    rows = reduce(DataFrame.unionByName, [
+        df.select(group, item, *[F.lit(name == other).alias(other) for other in tables]) for name, df in tables.items()
+    ])
+    return rows.groupBy(group, item).agg(*[F.bool_or(name).alias(name) for name in tables])
+
+
 def recovered_fraction(ranked: DataFrame, markers: DataFrame, group: str, item: str) -> DataFrame:
     """Share of each group's markers among its ranked items.
 
     Groups without ranked items or without markers are left out.
     """
-    want = markers.select(group, item).distinct()
-    have = ranked.select(group, item).distinct().withColumn("_hit", F.lit(1))
-    groups = ranked.select(group).distinct()
+    found = _found_items({"_marker": markers, "_ranked": ranked}, group, item)
     return (
-        want.join(groups, group, "left_semi").join(have, [group, item], "left").groupBy(group)
-        .agg(F.count(F.lit(1)).alias("n_markers"), F.count("_hit").alias("n_found"))
-        .withColumn("fraction", ratio("n_found", "n_markers"))
+        found.groupBy(group)
+        .agg(F.count_if("_marker").alias("n_markers"), F.count_if(F.col("_marker") & F.col("_ranked")).alias("n_found"),
+             F.bool_or("_ranked").alias("_any"))
+        .where(F.col("_any") & (F.col("n_markers") > 0))
+        .select(group, "n_markers", "n_found", ratio("n_found", "n_markers").alias("fraction"))
     )
 
 
 def set_recovery(left: DataFrame, right: DataFrame, markers: DataFrame, group: str, item: str) -> DataFrame:
     """Markers found by two rankings: shares, shared share and Jaccard similarity.
 
-    Only groups ranked on both sides; an empty union has similarity 0.
+    Only groups ranked on both sides that have markers; an empty union has similarity 0.
     """
-    want = markers.select(group, item).distinct()
-    out = want
-    for side, table in (("left", left), ("right", right)):
-        groups = table.select(group).distinct()
-        have = table.select(group, item).distinct().withColumn(f"_{side}", F.lit(True))
-        out = out.join(groups, group, "left_semi").join(have, [group, item], "left")
-    a, b = F.col("_left").isNotNull(), F.col("_right").isNotNull()
-    counts = out.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n_markers"), F.count_if(a).alias("n_left"), F.count_if(b).alias("n_right"),
+    found = _found_items({"_marker": markers, "_left": left, "_right": right}, group, item)
+    a, b = F.col("_marker") & F.col("_left"), F.col("_marker") & F.col("_right")
+    counts = found.groupBy(group).agg(
+        F.count_if("_marker").alias("n_markers"), F.count_if(a).alias("n_left"), F.count_if(b).alias("n_right"),
         F.count_if(a & b).alias("n_shared"), F.count_if(a | b).alias("_union"),
+        (F.bool_or("_left") & F.bool_or("_right")).alias("_both"),
     )
-    return counts.select(
+    return counts.where(F.col("_both") & (F.col("n_markers") > 0)).select(
         group, "n_markers",
         ratio("n_left", "n_markers").alias("left_fraction"),
         ratio("n_right", "n_markers").alias("right_fraction"),

@@ -85,7 +85,7 @@ def rank_genes(counts: DataFrame, cells: DataFrame, group: str, top_n: int | Non
     side varies. `log_fold_change` is base 2.
     """
     typed = drop_rare_types(cells.select("cell_id", group), group)
-    values = log_values(normalize_counts(counts.join(typed, "cell_id", "left_semi"))).join(typed, "cell_id")
+    values = log_values(normalize_counts(counts.join(typed, "cell_id")))
     sums = values.groupBy(group, "gene_id").agg(
         F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     genes = sums.groupBy("gene_id").agg(F.sum("s").alias("all_s"), F.sum("ss").alias("all_ss"))

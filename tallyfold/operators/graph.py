@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
-
-MERGE_LEVELS = 16
+from ..session import materialize, scratch_path, write_measured
 
 
 def clean_edges(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
@@ -25,33 +21,33 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, max_rounds: int |
 
     One round per level: the pairs found last are extended by one edge and the
     pairs known already are dropped, which also ends cycles. Every level is
-    written out, so the plan stays short. A node is not its own descendant.
+    written to a folder of its own, so the plan of a round is always the same
+    short one. A node is not its own descendant.
     """
+    spark = edges.sparkSession
     step = materialize(clean_edges(edges), "edges")
-    start = step.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    start = step.select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit(1).alias("depth"))
     if seeds is not None:
         ids = seeds.select(F.col(seeds.columns[0]).alias("src")).distinct()
         start = start.join(ids, "src", "left_semi")
-    depth = 1
-    frontier = materialize(start.withColumn("depth", F.lit(depth)), "level")
-    levels = [frontier]
-    while not frontier.isEmpty():
-        if max_rounds is not None and depth >= max_rounds:
+    reader = spark.read.schema(start.schema)
+    root = scratch_path(spark, "closure")
+    paths = [f"{root}/level-1"]
+    found = write_measured(start, paths[0], n=F.count(F.lit(1)))
+    while found["n"]:
+        if max_rounds is not None and len(paths) >= max_rounds:
             raise RuntimeError(f"paths longer than {max_rounds} edges")
-        depth += 1
-        if len(levels) > MERGE_LEVELS:
-            levels = [materialize(reduce(DataFrame.unionByName, levels), "levels")]
-        known = reduce(DataFrame.unionByName, levels).select("src", "dst")
-        found = (
-            frontier.join(step, F.col("dst") == F.col("child"))
-            .select("src", F.col("parent").alias("dst"))
+        longer = (
+            reader.parquet(paths[-1]).join(step, F.col("dst") == F.col("child"))
+            .select("src", F.col("parent").alias("dst"), (F.col("depth") + 1).alias("depth"), F.lit(True).alias("fresh"))
             .where(F.col("src") != F.col("dst"))
-            .distinct()
-            .join(known, ["src", "dst"], "left_anti")
         )
-        frontier = materialize(found.withColumn("depth", F.lit(depth)), "level")
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels)
+        # one shuffle both drops repeats and takes out the pairs of earlier levels
+        pairs = longer.unionByName(reader.parquet(*paths).withColumn("fresh", F.lit(False))).groupBy("src", "dst")
+        level = pairs.agg(F.min("depth").alias("depth"), F.bool_and("fresh").alias("fresh")).where("fresh").drop("fresh")
+        paths.append(f"{root}/level-{len(paths) + 1}")
+        found = write_measured(level, paths[-1], n=F.count(F.lit(1)))
+    return reader.parquet(*paths)
 
 
 def with_self(paths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -105,11 +101,6 @@ def weighted_edges(edges: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(row)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """`(node, component)`, a weakly connected component named by its smallest node.
 
@@ -117,10 +108,12 @@ def components(edges: DataFrame) -> DataFrame:
     smallest one: first the larger neighbours, then the smaller. Links shrink to
     stars in a few rounds, also on long chains.
     """
-    links = materialize(clean_edges(edges).select(
-        F.greatest("child", "parent").alias("u"), F.least("child", "parent").alias("v")).distinct(), "links")
-    before = None
-    now = _fingerprint(links)
+    spark, root = edges.sparkSession, scratch_path(edges.sparkSession, "links")
+    marks = {"n": F.count(F.lit(1)), "mix": F.bit_xor(F.xxhash64("u", "v"))}
+    oriented = clean_edges(edges).select(
+        F.greatest("child", "parent").alias("u"), F.least("child", "parent").alias("v")).distinct()
+    now, before, turn = write_measured(oriented, f"{root}/0", **marks), None, 0
+    links = spark.read.schema(oriented.schema).parquet(f"{root}/0")
     while now != before:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("_min")).select("u", F.least("u", "_min").alias("m"))
@@ -128,8 +121,9 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
-        links = materialize(small, "links")
-        before, now = now, _fingerprint(links)
+        turn += 1
+        before, now = now, write_measured(small, f"{root}/{turn}", **marks)
+        links = spark.read.schema(oriented.schema).parquet(f"{root}/{turn}")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
 

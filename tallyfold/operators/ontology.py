@@ -62,11 +62,11 @@ def common_roots(edges: DataFrame, membership: DataFrame, top: int = 3, directio
         .select(covered["cluster"], "root"),
         "common",
     )
-    below = closure(up, common.select("root"))
+    # whatever is above a common ancestor is common too, so looking one edge down is enough
     higher = (
-        common.join(below, F.col("root") == F.col("src"))
-        .select("cluster", F.col("dst").alias("root"))
-        .join(common, ["cluster", "root"], "left_semi")
+        common.join(up, F.col("root") == F.col("child"))
+        .select("cluster", F.col("parent").alias("root"))
+        .distinct()
     )
     lowest = common.join(higher, ["cluster", "root"], "left_anti")
     best = first_n(lowest, ["cluster"], [F.col("root")], top)

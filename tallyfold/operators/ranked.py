@@ -16,10 +16,10 @@ from ..session import materialize
 
 def running_weight(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
                    weight: str | None = None) -> DataFrame:
-    """Adds `_before`: the weight of the rows that come earlier in their group.
+    """Adds `_before`, the weight of the rows that come earlier in their group, and `_total`, that of all.
 
     `order` must be unique within a group. Without `weight` each row counts 1,
-    so `_before` is the zero-based rank.
+    so `_before` is the zero-based rank and `_total` the number of rows.
     """
     by, order = list(by), list(order)
     amount = F.col(weight) if weight else F.lit(1).cast("long")
@@ -33,11 +33,13 @@ def running_weight(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     # one row per (group, range): at most `parts` of them in a group
     totals = rows.groupBy(*by, "_range").agg(F.sum("_amount").alias("_sum"))
     earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = totals.select(
+        *by, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_sum").over(W.partitionBy(*by)).alias("_total"))
     keyed = [F.col(f"o.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
     joined = rows.alias("r").join(
         offsets.alias("o"), [F.col("r._range") == F.col("o._range"), *keyed], "inner"
-    ).select("r.*", "o._offset")
+    ).select("r.*", "o._offset", "o._total")
     within = W.partitionBy(*by, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return joined.withColumn(
         "_before", F.col("_offset") + F.coalesce(F.sum("_amount").over(within), F.lit(0))
@@ -46,7 +48,7 @@ def running_weight(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
 
 def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
     """Global one-based row number over a unique order."""
-    return running_weight(df, order).withColumn(name, F.col("_before") + 1).drop("_before")
+    return running_weight(df, order).withColumn(name, F.col("_before") + 1).drop("_before", "_total")
 
 
 def label_ranks(df: DataFrame, label: str, value: str, name: str = "label_rank") -> DataFrame:
@@ -60,15 +62,14 @@ def batches(ids: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     """Consecutive batches of `size` rows of the sorted rows, numbered from 0."""
     return running_weight(ids, order).withColumn(
         "batch_id", F.floor(F.col("_before") / size)
-    ).drop("_before")
+    ).drop("_before", "_total")
 
 
 def empirical_cdf(df: DataFrame, value: str, name: str = "fraction") -> DataFrame:
     """Distinct values with the share of rows at or below each."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    n_all = counts.agg(F.sum("n").alias("t")).scalar()
     ranked = running_weight(counts, [value], weight="n")
-    return ranked.select(value, "n", ((F.col("_before") + F.col("n")) / n_all).alias(name))
+    return ranked.select(value, "n", ((F.col("_before") + F.col("n")) / F.col("_total")).alias(name))
 
 
 def budget_sample(df: DataFrame, strata: Sequence[str], id_col: str, size: str, budget: float,
@@ -79,7 +80,7 @@ def budget_sample(df: DataFrame, strata: Sequence[str], id_col: str, size: str,
     """
     shuffled = df.withColumn("_shuffle", F.xxhash64(F.lit(seed), F.col(id_col)))
     ranked = running_weight(shuffled, ["_shuffle", id_col], by=strata, weight=size)
-    return ranked.where(F.col("_before") < budget).drop("_before", "_shuffle")
+    return ranked.where(F.col("_before") < budget).drop("_before", "_total", "_shuffle")
 
 
 def _positions(q: float, method: str, total: Column) -> tuple[Column, Column, Column]:
@@ -109,12 +110,6 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Map
     known = df.select(*by, F.col(value).cast("double").alias("_value")).where(F.col("_value").isNotNull())
     counts = known.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_weight(counts, ["_value", *by], by=by, weight="_n")
-    totals = ranked.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    if by:
-        keyed = [F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
-        ranked = ranked.alias("r").join(totals.alias("t"), keyed).select("r.*", "t._total")
-    else:
-        ranked = ranked.withColumn("_total", totals.scalar())
     first, after = F.col("_before"), F.col("_before") + F.col("_n")
     picks, out = [], []
     for name, q in quantiles.items():

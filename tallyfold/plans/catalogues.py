@@ -13,6 +13,7 @@ from ..operators.aggregate import frequent, group_sum, to_wide
 from ..operators.grid import complete
 from ..operators.joins import drop_in, first_row, keep_in
 from ..operators.windows import top_labels
+from ..session import materialize
 
 # Matrix files each feature must have, by processing step. `*` is any other feature.
 _MATRIX = ("matrix.mtx.gz", "barcodes.tsv.gz", "features.tsv.gz")
@@ -49,7 +50,7 @@ def compare_catalogues(sources: Mapping[str, DataFrame], keys: Sequence[str], va
     tagged = [
         group_sum(df, keys, **{value: value}).withColumn("catalogue", F.lit(name)) for name, df in sources.items()
     ]
-    sums = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    sums = materialize(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged), "sums")
     if top_n:
         sums = sums.join(top_labels(sums, keys[0], value, top_n, how="max"), keys[0], "left_semi")
     return complete(sums, [*keys, "catalogue"]).withColumn("scaled", F.col(value) / scale)
@@ -62,10 +63,9 @@ def required_files(spark: SparkSession, table: Mapping[tuple[str, str], Sequence
 
 def missing_files(files: DataFrame, required: DataFrame) -> DataFrame:
     """Required files a manifest lacks, for every accession and feature it has."""
-    own = [r[0] for r in required.select("feature").distinct().collect() if r[0] != "*"]
-    rule = F.when(F.col("feature").isin(own), F.col("feature")).otherwise(F.lit("*"))
+    own = required.select("feature", F.col("feature").alias("_rule")).distinct()
     wanted = (
-        files.select("accession", "feature").distinct().withColumn("_rule", rule)
+        files.select("accession", "feature").distinct().join(own, "feature", "left").fillna({"_rule": "*"})
         .join(required.withColumnRenamed("feature", "_rule"), "_rule").drop("_rule")
     )
     return wanted.join(files, ["accession", "feature", "processing", "file"], "left_anti")

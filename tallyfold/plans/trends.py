@@ -10,12 +10,18 @@ from ..functions.dates import period as period_of
 from ..operators.aggregate import append_totals, group_sum, share_within
 from ..operators.grid import complete
 from ..operators.windows import keep_top, period_change, running_total, top_labels
+from ..session import materialize
 
 
 def summed_by_period(df: DataFrame, date: str, by: str, value: str, period: str = "year") -> DataFrame:
-    """Sum per period and label, completed with zeros; undated and unlabelled rows are left out."""
+    """Sum per period and label, completed with zeros; undated and unlabelled rows are left out.
+
+    The sums are written out first: completing reads them once per key, and the
+    rows behind them should be scanned once only.
+    """
     dated = df.withColumn("period", period_of(date, period))
-    return complete(group_sum(dated, ["period", by], **{value: value}), ["period", by])
+    sums = materialize(group_sum(dated, ["period", by], **{value: value}), "sums")
+    return complete(sums, ["period", by])
 
 
 def cumulative_trend(df: DataFrame, date: str, by: str, value: str, period: str = "year",

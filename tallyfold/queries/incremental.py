@@ -38,14 +38,14 @@ def m1b(spark, sf):
 SELECT o_custkey, last_order, priority FROM (SELECT o_custkey, o_orderkey AS last_order, o_orderpriority AS priority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
 def m2(spark, sf):
     schema = StructType([StructField("o_custkey", LongType()), StructField("last_order", LongType()), StructField("priority", StringType())])
-    target = VersionedTable(spark, scratch_path(spark, "latest"), schema)
+    target = VersionedTable(spark, scratch_path(spark, "latest"), schema, ["o_custkey"])
 
     def newest(batch):
         return batch.select("o_custkey", F.col("o_orderkey").alias("last_order"), F.col("o_orderpriority").alias("priority"),
                             (-F.col("o_orderkey")).alias("newest_first"))
 
     source = table(spark, sf, "orders").schema
-    return follow_files(spark, sf, source, target, ["o_custkey"], ["newest_first"], pattern="orders.parquet", prepare=newest)
+    return follow_files(spark, sf, source, target, ["newest_first"], pattern="orders.parquet", prepare=newest)
 
 
 @query("m3_isolated_failures", """

@@ -55,7 +55,7 @@ SELECT tissue, accession, CAST(cells AS BIGINT) AS cells, CAST(coalesce(before,
 def w5b(spark, sf):
     rows = datasets(spark, sf).select("tissue", "accession", "cells")
     ranked = R.running_weight(rows, ["accession"], by=["tissue"], weight="cells")
-    return ranked.where("_before < 50000000").withColumnRenamed("_before", "size_before")
+    return ranked.where("_before < 50000000").withColumnRenamed("_before", "size_before").drop("_total")
 
 
 @query("w6_repeat_flag", """

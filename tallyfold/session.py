@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -61,3 +61,10 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_measured(df: DataFrame, path: str, **measures: Column) -> dict[str, object]:
+    """Write `df` and return aggregates over it, taken while it is written."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(name) for name, c in measures.items()]).write.parquet(path)
+    return seen.get

@@ -49,9 +49,9 @@ def write_report(parts: Mapping[str, DataFrame], folder: str, kind: str = "csv")
 def write_per_dataset(df: DataFrame, path: str, key: str, done: DataFrame | None = None) -> None:
     """One folder per dataset; datasets in `done` are skipped.
 
-    Rows are spread by dataset and a random salt, so that a large dataset is
-    written by several tasks.
+    Rows are spread by dataset and a salt taken from the row, so that a large
+    dataset is written by several tasks.
     """
     todo = df.join(done.select(key).distinct(), key, "left_anti") if done is not None else df
-    salted = todo.repartition(F.col(key), F.floor(F.rand(7) * 8))
+    salted = todo.repartition(F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(8)))
     salted.write.mode("append").partitionBy(key).parquet(path)

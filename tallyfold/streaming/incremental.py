@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.joins import first_row
-from ..operators.merge import upsert
 from ..session import scratch_path
 
 
@@ -61,34 +61,51 @@ def isolated(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema
 
 
 class VersionedTable:
-    """A keyed parquet table that is replaced as a whole: each version is a folder of its own.
+    """A keyed parquet table that grows by deltas: the newest row of a key counts.
 
-    Versions are named by the batch that wrote them, so a batch that is run
-    again after a failure finds its version or writes the same one.
+    A batch writes its own rows only; reading merges the deltas since the last
+    full copy, and every `compact_every` batches a new full copy is written.
+    Folders are named by the batch, so a batch that runs again after a failure
+    finds its delta or writes the same one.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], compact_every: int = 32):
         self.spark, self.path, self.schema = spark, path, schema
+        self.keys, self.compact_every = list(keys), compact_every
 
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/version={version:09d}"
+    def _folder(self, kind: str, version: int) -> str:
+        return f"{self.path}/{kind}-{version:09d}"
 
-    def _exists(self, version: int) -> bool:
-        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._folder(version)}/_SUCCESS")
-        return marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(marker)
+    def _finished(self, kind: str) -> list[int]:
+        """Versions of a kind that were written to the end."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}-*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(int(f.getPath().getParent().getName().split("-")[-1]) for f in found or [])
+
+    def last_version(self) -> int:
+        return max(self._finished("delta"), default=-1)
 
     def at(self, version: int) -> DataFrame:
-        if version < 0:
+        """The table after a batch."""
+        full = max((v for v in self._finished("full") if v <= version), default=-1)
+        deltas = [v for v in self._finished("delta") if full < v <= version]
+        parts = [(full, self._folder("full", full))] * (full >= 0) + [(v, self._folder("delta", v)) for v in deltas]
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(version))
+        read = self.spark.read.schema(self.schema)
+        rows = reduce(DataFrame.unionByName, [read.parquet(p).withColumn("_version", F.lit(v)) for v, p in parts])
+        return first_row(rows, self.keys, ["_version"], last=True).select(self.schema.names)
 
-    def merge(self, incoming: DataFrame, version: int, keys: Sequence[str], order_by: Sequence[str]) -> None:
-        if not self._exists(version):
-            merged = upsert(self.at(version - 1), incoming, keys, order_by)
-            merged.write.mode("overwrite").parquet(self._folder(version))
+    def merge(self, incoming: DataFrame, version: int, order_by: Sequence[str]) -> None:
+        """Adds the first row by `order_by` of each key of a batch; it replaces what the key had."""
+        if version not in self._finished("delta"):
+            delta = first_row(incoming, self.keys, order_by).select(self.schema.names)
+            delta.write.mode("overwrite").parquet(self._folder("delta", version))
+        if (version + 1) % self.compact_every == 0 and version not in self._finished("full"):
+            self.at(version).write.mode("overwrite").parquet(self._folder("full", version))
 
 
-def follow_files(spark: SparkSession, folder: str, schema: StructType, table: VersionedTable, keys: Sequence[str],
+def follow_files(spark: SparkSession, folder: str, schema: StructType, table: VersionedTable,
                  order_by: Sequence[str], checkpoint: str | None = None, pattern: str = "*.parquet",
                  prepare: Callable[[DataFrame], DataFrame] = lambda df: df, files_per_batch: int | None = None) -> DataFrame:
     """Upserts every file that has arrived since the last call, then stops.
@@ -99,11 +116,9 @@ def follow_files(spark: SparkSession, folder: str, schema: StructType, table: Ve
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    last = {"version": -1}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.merge(prepare(batch), batch_id, keys, order_by)
-        last["version"] = batch_id
+        table.merge(prepare(batch), batch_id, order_by)
 
     query = (
         reader.parquet(folder).writeStream.foreachBatch(write)
@@ -111,7 +126,4 @@ def follow_files(spark: SparkSession, folder: str, schema: StructType, table: Ve
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    if last["version"] < 0:
-        while table._exists(last["version"] + 1):
-            last["version"] += 1
-    return table.at(last["version"])
+    return table.at(table.last_version())
