@@ -32,7 +32,7 @@ def cluster_graph(weighted: DataFrame, k: int, max_iter: int = 20) -> DataFrame:
         .join(ids.select(F.col("node").alias("b"), F.col("id").alias("dst")), "b")
         .select("src", "dst", F.col("weight").cast("double"))
     )
-    found = PowerIterationClustering(k=k, maxIter=max_iter, initMode="degree", weightCol="weight").assignClusters(numbered)
+    found = PowerIterationClustering(k=k, maxIter=max_iter, initMode="random", weightCol="weight").assignClusters(numbered)
     return found.join(ids, "id").select("node", "cluster")
 
 

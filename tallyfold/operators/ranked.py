@@ -97,8 +97,8 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Map
                     method: str = "linear") -> DataFrame:
     """Exact quantiles per group: `linear` interpolates, `nearest` picks a row.
 
-    Equal values are counted together first, so the ranked rows are the
-    distinct (group, value) pairs.
+    Missing values, NaN included, do not count. Equal values are counted together
+    first, so the ranked rows are the distinct (group, value) pairs.
     """
     if method == "approx":
         return df.groupBy(*by).agg(
@@ -107,7 +107,8 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Map
     if method not in ("linear", "nearest"):
         raise ValueError("method is linear, nearest or approx")
     by = list(by)
-    known = df.select(*by, F.col(value).cast("double").alias("_value")).where(F.col("_value").isNotNull())
+    known = df.select(*by, F.col(value).cast("double").alias("_value")).where(
+        F.col("_value").isNotNull() & ~F.isnan("_value"))
     counts = known.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_weight(counts, ["_value", *by], by=by, weight="_n")
     first, after = F.col("_before"), F.col("_before") + F.col("_n")
