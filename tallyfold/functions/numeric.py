@@ -55,8 +55,8 @@ def log_bin(c: Column | str, low: float, width: float, plus_one: bool = False) -
 
 def rescale(df: DataFrame, column: str, low: float, high: float, name: str) -> DataFrame:
     """Min-max rescale of a column; a constant column becomes `low`."""
-    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    ends = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
+    lo, hi = ends["lo"], ends["hi"]
     at = F.when(hi > lo, (F.col(column) - lo) / (hi - lo)).otherwise(0.0)
     return df.withColumn(name, F.when(F.col(column).isNotNull(), F.lit(low) + at * (high - low)))
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import ratio
+from ..session import materialize
 from .joins import all_combinations, null_safe_join
 from .ranked import group_quantiles, running_weight
 
@@ -106,8 +107,9 @@ def share_change(df: DataFrame, period: str, label: str, value: str, first: int,
         .groupBy(label)
         .agg(*[F.sum(F.when(F.col(period) == p, F.col(value))).alias(n) for n, p in at.items()])
     )
-    totals = sums.agg(*[F.sum(n).alias(n) for n in at])
-    shares = {f"{n}_percent": ratio(F.col(n), totals.select(n).scalar()) * 100 for n in at}
+    sums = materialize(sums, "sums")
+    totals = sums.agg(*[F.sum(n).alias(n) for n in at]).select(F.struct(*at)).scalar()
+    shares = {f"{n}_percent": ratio(F.col(n), totals[n]) * 100 for n in at}
     return (
         sums.where(F.col("first").isNotNull() & F.col("second").isNotNull())
         .select(label, *[c.alias(n) for n, c in shares.items()])
@@ -234,6 +236,7 @@ def confusion(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     known = known_keys(df, [predicted, actual])
     counts = known.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts, "counts")
     labels = counts.select(F.col("actual").alias("l")).union(counts.select("predicted")).distinct()
     cells = all_combinations(labels.select(F.col("l").alias("actual")), labels.select(F.col("l").alias("predicted")))
     full = cells.join(counts, ["actual", "predicted"], "left").fillna({"n": 0})

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import ratio
 from ..functions.text import UNTYPED_WORDS, nullify
+from ..session import materialize
 from .joins import all_combinations, composed_key
 from .ranked import global_quantile
 from .windows import first_n
@@ -41,25 +42,33 @@ def gated_cells(cells: DataFrame, dataset: Sequence[str], **limits: float) -> Da
     return passing_cells(cells, **own).join(keep, list(dataset), "left_semi")
 
 
-def retained_fractions(cells: DataFrame, dataset: Sequence[str], **limits: float) -> DataFrame:
+def retained_fractions(cells: DataFrame, dataset: Sequence[str], min_genes: float = MIN_GENES,
+                       min_umis: float = MIN_UMIS, min_cells: int = MIN_CELLS) -> DataFrame:
     """One row: share of datasets that pass and share of all cells that stay."""
-    gate = dataset_gate(cells, dataset, **limits)
-    n_all = cells.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return gate.agg(
-        F.count(F.lit(1)).alias("n_datasets"), F.count_if("passes").alias("n_passing"),
-        F.coalesce(F.sum(F.when(F.col("passes"), F.col("n_cells"))), F.lit(0)).alias("n_cells"),
+    good = (F.col("gene_count") > min_genes) & (F.col("umi_count") > min_umis)
+    sizes = cells.groupBy(*dataset).agg(F.count(F.lit(1)).alias("_all"), F.count_if(good).alias("_n"))
+    passes = F.col("_n") >= min_cells
+    return sizes.agg(
+        F.count_if(F.col("_n") > 0).alias("n_datasets"), F.count_if(passes & (F.col("_n") > 0)).alias("n_passing"),
+        F.coalesce(F.sum(F.when(passes, F.col("_n"))), F.lit(0)).alias("n_cells"), F.sum("_all").alias("_cells"),
     ).select(
         "n_datasets", "n_passing", "n_cells",
-        ratio("n_passing", "n_datasets").alias("datasets_kept"), ratio(F.col("n_cells"), n_all).alias("cells_kept"),
+        ratio("n_passing", "n_datasets").alias("datasets_kept"), ratio("n_cells", "_cells").alias("cells_kept"),
     )
 
 
-def normalize_counts(counts: DataFrame, target: float | None = None) -> DataFrame:
-    """Counts scaled so that each cell sums to the target, by default the median total."""
-    totals = cell_totals(counts).select("cell_id", F.col("umi_count").alias("_total"))
-    goal = F.lit(float(target)) if target is not None else global_quantile(totals, "_total", 0.5)
+def normalize_counts(counts: DataFrame, target: float | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """Counts scaled so that each cell sums to the target, by default the median total.
+
+    `totals` may bring `(cell_id, umi_count)` along with further cell columns,
+    which are kept; cells it lacks are left out. The totals, one row per cell, are
+    written out, as both the median and the scaling need them.
+    """
+    if totals is None:
+        totals = materialize(cell_totals(counts).select("cell_id", "umi_count"), "totals")
+    goal = F.lit(float(target)) if target is not None else global_quantile(totals, "umi_count", 0.5)
     return counts.where("count > 0").join(totals, "cell_id").withColumn(
-        "value", F.col("count") * goal / F.col("_total")).drop("_total")
+        "value", F.col("count") * goal / F.col("umi_count")).drop("umi_count")
 
 
 def log_values(normalized: DataFrame) -> DataFrame:
@@ -84,13 +93,16 @@ def rank_genes(counts: DataFrame, cells: DataFrame, group: str, top_n: int | Non
     rows; zeros enter through the group sizes. A score is null where neither
     side varies. `log_fold_change` is base 2.
     """
-    typed = drop_rare_types(cells.select("cell_id", group), group)
-    values = log_values(normalize_counts(counts.join(typed, "cell_id")))
-    sums = values.groupBy(group, "gene_id").agg(
-        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
+    sizes = materialize(
+        cells.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n1")).where("n1 > 1"), "sizes")
+    typed = cells.select("cell_id", group).join(sizes, group, "left_semi")
+    # the counts are read twice: for the cell totals and for the sums per group and gene
+    totals = materialize(cell_totals(counts).select("cell_id", "umi_count").join(typed, "cell_id"), "totals")
+    values = log_values(normalize_counts(counts, totals=totals))
+    sums = materialize(values.groupBy(group, "gene_id").agg(
+        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")), "sums")
     genes = sums.groupBy("gene_id").agg(F.sum("s").alias("all_s"), F.sum("ss").alias("all_ss"))
-    sizes = typed.groupBy(group).agg(F.count(F.lit(1)).alias("n1"))
-    n_all = typed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_all = sizes.agg(F.sum("n1").alias("n")).scalar()
     full = all_combinations(sizes, genes).join(sums, [group, "gene_id"], "left").fillna({"s": 0.0, "ss": 0.0})
     n1, n2 = F.col("n1"), F.col("n2")
     m1, m2 = F.col("m1"), F.col("m2")

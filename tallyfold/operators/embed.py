@@ -192,8 +192,8 @@ def trim_outliers(df: DataFrame, columns: Sequence[str], low: float, high: float
     """Rows inside the low..high percentiles of every column."""
     out = df
     for c in columns:
-        ends = group_quantiles(df, [], c, {"lo": low, "hi": high})
-        out = out.where(F.col(c).between(ends.select("lo").scalar(), ends.select("hi").scalar()))
+        ends = group_quantiles(df, [], c, {"lo": low, "hi": high}).select(F.struct("lo", "hi")).scalar()
+        out = out.where(F.col(c).between(ends["lo"], ends["hi"]))
     return out
 
 

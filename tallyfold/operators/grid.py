@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from .joins import all_combinations, null_safe_join
 
 
@@ -20,9 +21,11 @@ def complete(df: DataFrame, keys: Sequence[str], fill: float = 0,
     """Every combination of the keys, with missing values filled.
 
     `fill_cols=None` fills every other column with `fill`; a mapping fills only
-    its columns. Values that were null before are filled as well.
+    its columns. Values that were null before are filled as well. The table is
+    written out first, as it is read once per key and once for the values.
     """
     keys = list(keys)
+    df = materialize(df, "sums")
     joined = null_safe_join(key_grid(df, keys), df, keys, "left").select(df.columns)
     if fill_cols is not None:
         return joined.fillna(dict(fill_cols))

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
+
 PRODUCT_SLOTS = 64
 
 
@@ -142,6 +144,7 @@ def term_differences(left: DataFrame, right: DataFrame, by: str, term: str) -> D
         .groupBy(by, term)
         .agg(F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"))
     )
+    counts = materialize(counts, "counts")
     totals = counts.groupBy(by).agg(F.sum("left_rows").alias("_l"), F.sum("right_rows").alias("_r"))
     return counts.join(totals.where("_l > 0 and _r > 0"), by).select(
         by, term, "left_rows", "right_rows",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import clean_counts
 from ..functions.text import snake_columns
-from ..operators.aggregate import frequent, group_sum, to_wide
+from ..operators.aggregate import group_sum, to_wide
 from ..operators.grid import complete
 from ..operators.joins import drop_in, first_row, keep_in
 from ..operators.windows import top_labels
@@ -61,19 +61,32 @@ def required_files(spark: SparkSession, table: Mapping[tuple[str, str], Sequence
     return spark.createDataFrame(rows, "feature string, processing string, file string")
 
 
+def _file_gaps(files: DataFrame, required: DataFrame) -> DataFrame:
+    """For each accession and feature the array of required files it lacks.
+
+    The set gathered per pair holds required files only, so it is as short as
+    the list of them, and the manifest is read once.
+    """
+    item = F.struct("processing", "file")
+    lists = required.groupBy(F.col("feature").alias("_rule")).agg(F.collect_set(item).alias("_wanted"))
+    own = lists.where("_rule <> '*'").select(F.col("_rule").alias("feature"), "_rule")
+    ruled = files.join(own, "feature", "left").fillna({"_rule": "*"})
+    known = required.select(F.col("feature").alias("_rule"), "processing", "file", F.lit(True).alias("_known")).distinct()
+    found = ruled.join(known, ["_rule", "processing", "file"], "left")
+    present = found.groupBy("accession", "feature", "_rule").agg(F.collect_set(F.when(F.col("_known"), item)).alias("_present"))
+    return present.join(lists, "_rule").select(
+        "accession", "feature", F.array_except("_wanted", "_present").alias("missing"))
+
+
 def missing_files(files: DataFrame, required: DataFrame) -> DataFrame:
     """Required files a manifest lacks, for every accession and feature it has."""
-    own = required.select("feature", F.col("feature").alias("_rule")).distinct()
-    wanted = (
-        files.select("accession", "feature").distinct().join(own, "feature", "left").fillna({"_rule": "*"})
-        .join(required.withColumnRenamed("feature", "_rule"), "_rule").drop("_rule")
-    )
-    return wanted.join(files, ["accession", "feature", "processing", "file"], "left_anti")
+    gaps = _file_gaps(files, required).select("accession", "feature", F.explode("missing").alias("_m"))
+    return gaps.select("accession", "feature", "_m.processing", "_m.file")
 
 
 def complete_datasets(files: DataFrame, required: DataFrame) -> DataFrame:
     """`(accession, feature)` pairs with no required file missing."""
-    return drop_in(files.select("accession", "feature").distinct(), missing_files(files, required), ["accession", "feature"])
+    return _file_gaps(files, required).where(F.size("missing") == 0).select("accession", "feature")
 
 
 def result_table(pairs: DataFrame, complete_ids: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -92,19 +105,15 @@ def result_table(pairs: DataFrame, complete_ids: DataFrame, names: Sequence[str]
 
 def gap_report(files: DataFrame, metadata: DataFrame, results: DataFrame) -> DataFrame:
     """Datasets per feature: on file, without metadata, without results, duplicated."""
-    ids = files.select("feature", "accession")
-    once = ids.distinct()
-    meta = metadata.select("accession").distinct()
-    done = results.select("accession", "feature").distinct()
-    counts = {
-        "n_files": ids, "n_datasets": once,
-        "n_without_metadata": drop_in(once, meta, "accession"),
-        "n_without_results": drop_in(once, done, ["accession", "feature"]),
-        "n_duplicated": frequent(ids, ["feature", "accession"], 2),
-    }
-    parts = [df.select("feature", F.lit(name).alias("what")) for name, df in counts.items()]
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.groupBy("feature").agg(*[F.count_if(F.col("what") == n).alias(n) for n in counts])
+    listed = files.groupBy("feature", "accession").agg(F.count(F.lit(1)).alias("n"))
+    meta = metadata.select("accession").distinct().withColumn("_meta", F.lit(True))
+    done = results.select("feature", "accession").distinct().withColumn("_done", F.lit(True))
+    marked = listed.join(done, ["feature", "accession"], "left").join(meta, "accession", "left")
+    return marked.groupBy("feature").agg(
+        F.sum("n").alias("n_files"), F.count(F.lit(1)).alias("n_datasets"),
+        F.count_if(F.col("_meta").isNull()).alias("n_without_metadata"),
+        F.count_if(F.col("_done").isNull()).alias("n_without_results"), F.count_if(F.col("n") > 1).alias("n_duplicated"),
+    )
 
 
 def without_metadata(files: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -75,11 +75,11 @@ def filter_runs(flat: DataFrame, include_errors: bool = False, min_duration: flo
 
 
 def name_sequence(flat: DataFrame, kind: str = "tool") -> DataFrame:
-    """`(trace_id, position, name)` in start order, for traces of any length."""
+    """`(trace_id, position, name, length)` in start order, for traces of any length."""
     named = flat.where(F.col(KINDS[kind]).isNotNull() & F.col("start_time").isNotNull()).select(
         "trace_id", "start_time", "run_id", F.col(KINDS[kind]).alias("name"))
     ranked = running_weight(named, ["start_time", "run_id", "trace_id"], by=["trace_id"])
-    return ranked.select("trace_id", (F.col("_before") + 1).alias("position"), "name")
+    return ranked.select("trace_id", (F.col("_before") + 1).alias("position"), "name", F.col("_total").alias("length"))
 
 
 def short_sequences(sequence: DataFrame, limit: int = SEQUENCE_LIMIT) -> DataFrame:
@@ -87,11 +87,10 @@ def short_sequences(sequence: DataFrame, limit: int = SEQUENCE_LIMIT) -> DataFra
 
     Longer traces have null here and keep their rows in `name_sequence`.
     """
-    sizes = sequence.groupBy("trace_id").agg(F.max("position").alias("length"))
-    short = sequence.join(sizes.where(F.col("length") <= limit), "trace_id", "left_semi")
-    arrays = short.groupBy("trace_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("position", "name"))), lambda s: s["name"]).alias("sequence"))
-    return sizes.join(arrays, "trace_id", "left")
+    short = F.col("length") <= limit
+    listed = F.sort_array(F.collect_list(F.when(short, F.struct("position", "name"))))
+    return sequence.groupBy("trace_id").agg(F.max("length").alias("length"), listed.alias("_listed")).select(
+        "trace_id", "length", F.when(short, F.transform("_listed", lambda s: s["name"])).alias("sequence"))
 
 
 def workflow_summary(flat: DataFrame, kind: str = "tool") -> DataFrame:

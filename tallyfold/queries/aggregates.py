@@ -11,6 +11,7 @@ from ..operators.joins import drop_duplicated_keys, first_row
 from ..operators.ontology import category_frequency
 from ..operators.ranked import group_median
 from ..plans import forecast, runlog, trends
+from ..session import materialize
 from .registry import DATASETS, RUNS, datasets, query, rounded, run_records, table
 
 
@@ -125,7 +126,7 @@ WITH {DATASETS}, s AS (SELECT tissue, organism, sum(cells) AS cells FROM ds GROU
 SELECT tissue, organism, CAST(cells AS BIGINT) AS cells, round(cells / sum(cells) OVER (PARTITION BY tissue), 6) AS within_tissue,
   round(cells / sum(cells) OVER (), 6) AS of_all FROM s""")
 def a12(spark, sf):
-    sums = A.group_sum(datasets(spark, sf), ["tissue", "organism"], cells="cells")
+    sums = materialize(A.group_sum(datasets(spark, sf), ["tissue", "organism"], cells="cells"), "sums")
     return rounded(A.share_within(A.share_within(sums, ["tissue"], "cells", "within_tissue"), [], "cells", "of_all"), 6)
 
 
@@ -227,7 +228,7 @@ def a20(spark, sf):
 WITH {RUNS} SELECT CAST(trace_id AS VARCHAR) AS trace_id, tool_name AS name,
   CAST(row_number() OVER (PARTITION BY trace_id ORDER BY start_time, CAST(run_id AS VARCHAR)) AS BIGINT) AS position FROM runs""")
 def a20b(spark, sf):
-    return runlog.name_sequence(_flat(spark, sf))
+    return runlog.name_sequence(_flat(spark, sf)).drop("length")
 
 
 @query("a20_short_sequences", f"""

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..streaming.incremental import VersionedTable, carry_on, follow_files, isolated, pending
 from .registry import query, table
 
@@ -14,6 +14,7 @@ from .registry import query, table
 def _progress(spark, sf):
     done = table(spark, sf, "orders").where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(
         F.when(F.max("o_totalprice") > 450000, "failed").otherwise("ok").alias("status")).where("o_custkey > 0")
+    done = materialize(done, "done")
     return table(spark, sf, "orders").select("o_custkey"), done
 
 

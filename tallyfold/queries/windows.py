@@ -8,6 +8,7 @@ from ..operators import ranked as R, windows as W
 from ..operators.aggregate import group_sum, share_within
 from ..operators.joins import flag_repeats, spread_first
 from ..plans.trends import summed_by_period
+from ..session import materialize
 from .registry import DATASETS, datasets, query, rounded, table
 
 
@@ -128,6 +129,6 @@ WITH {DATASETS}, s AS (SELECT CAST(year(release_date) AS INTEGER) AS period, tis
 h AS (SELECT *, cells / sum(cells) OVER (PARTITION BY period) AS share FROM s)
 SELECT period, tissue, CAST(cells AS BIGINT) AS cells, round(share, 6) AS share, round((share / lag(share) OVER (PARTITION BY tissue ORDER BY period) - 1) * 100, 4) AS change_percent FROM h""")
 def w2b(spark, sf):
-    sums = group_sum(datasets(spark, sf).withColumn("period", F.year("release_date")), ["period", "tissue"], cells="cells")
+    sums = materialize(group_sum(datasets(spark, sf).withColumn("period", F.year("release_date")), ["period", "tissue"], cells="cells"), "sums")
     out = W.period_change(share_within(sums, ["period"], "cells"), ["tissue"], "period", "share")
     return out.withColumns({"share": F.round("share", 6), "change_percent": F.round("change_percent", 4)})
