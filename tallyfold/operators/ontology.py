@@ -86,14 +86,25 @@ def _with_parent_inside(members: DataFrame, up: DataFrame) -> DataFrame:
     return links.join(inside, ["cluster", "parent"], "left_semi").select("cluster", "node")
 
 
-def cluster_report(membership: DataFrame, roots: DataFrame, terms: DataFrame, weights: DataFrame) -> DataFrame:
-    """One row per node: cluster, its root names, weight and a shortened definition."""
-    names = terms.select(F.col("id").alias("root"), F.col("name").alias("_root_name"))
-    labels = (
-        roots.join(names, "root", "left").groupBy("cluster")
-        .agg(F.array_join(F.sort_array(F.collect_set(F.coalesce("_root_name", F.col("root").cast("string")))), ":")
-             .alias("cluster_root_labels"))
-    )
+def _root_labels(roots: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
+    """Root names of each cluster joined by `:`; only their number where there are more than `limit`."""
+    names = terms.select(F.col("id").alias("root"), F.col("name").alias("_name"))
+    sizes = roots.groupBy("cluster").agg(F.count_distinct("root").alias("_n"))
+    few = roots.join(sizes.where(F.col("_n") <= limit), "cluster", "left_semi").join(names, "root", "left")
+    joined = few.groupBy("cluster").agg(
+        F.array_join(F.sort_array(F.collect_set(F.coalesce("_name", F.col("root").cast("string")))), ":").alias("_joined"))
+    return sizes.join(joined, "cluster", "left").select(
+        "cluster", F.coalesce("_joined", F.concat(F.col("_n").cast("string"), F.lit(" roots"))).alias("cluster_root_labels"))
+
+
+def cluster_report(membership: DataFrame, roots: DataFrame, terms: DataFrame, weights: DataFrame,
+                   label_limit: int = 100) -> DataFrame:
+    """One row per node: cluster, its root names, weight and a shortened definition.
+
+    A cluster without a common ancestor may have any number of roots; beyond
+    `label_limit` the label gives their number, and `roots` has them all.
+    """
+    labels = _root_labels(roots, terms, label_limit)
     return (
         membership.join(terms.select(F.col("id").alias("node"), "name", "definition"), "node", "left")
         .join(weights.select("node", "weight"), "node", "left")

@@ -76,9 +76,10 @@ def budget_sample(df: DataFrame, strata: Sequence[str], id_col: str, size: str,
                   seed: int = 42) -> DataFrame:
     """Datasets of each stratum in seeded random order until their sizes reach the budget.
 
-    The dataset that crosses the budget is still taken.
+    The dataset that crosses the budget is still taken. The order is that of a hash
+    of seed and id, so it does not depend on partitions.
     """
-    shuffled = df.withColumn("_shuffle", F.xxhash64(F.lit(seed), F.col(id_col)))
+    shuffled = df.withColumn("_shuffle", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))))
     ranked = running_weight(shuffled, ["_shuffle", id_col], by=strata, weight=size)
     return ranked.where(F.col("_before") < budget).drop("_before", "_total", "_shuffle")
 

@@ -51,6 +51,14 @@ def head(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def row_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Each row is kept with the given probability, so the size varies a little."""
-    return df.sample(fraction=fraction, seed=seed)
+def row_sample(df: DataFrame, fraction: float, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """Each row is kept with the given probability, so the size varies a little.
+
+    A hash of seed and keys decides, so a task that runs again keeps the same rows.
+    """
+    if not 0 <= fraction <= 1:
+        raise ValueError("fraction is between 0 and 1")
+    if fraction == 1:
+        return df
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return df.where(mark < f"{int(fraction * 2**32):08x}")

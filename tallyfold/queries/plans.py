@@ -303,7 +303,7 @@ def c14(spark, sf):
 
 
 @query("c14_flat_model_runs", f"""
-WITH {RUNS} SELECT CAST(run_id AS VARCHAR) AS run_id, tool_name AS run_name, 'm-' || tool_name AS model_name, 0.5::DOUBLE AS temperature, NULL AS top_p, round(total_cost, 4) AS total_cost FROM runs""")
+WITH {RUNS} SELECT CAST(run_id AS VARCHAR) AS run_id, tool_name AS run_name, 'm-' || tool_name AS model_name, 0.5::DOUBLE AS temperature, NULL::DOUBLE AS top_p, round(total_cost, 4) AS total_cost FROM runs""")
 def c14b(spark, sf):
     flat = runlog.flatten_runs(run_records(spark, sf), "model")
     return rounded(flat.select("run_id", "run_name", "model_name", "temperature", "top_p", "total_cost"))

@@ -44,7 +44,9 @@ def w4(spark, sf):
     return spread_first(rows, ["o_custkey"], "sample", ["sample"])
 
 
-@query("w5_budget_sample")
+@query("w5_budget_sample", f"""
+WITH {DATASETS}, r AS (SELECT tissue, accession, cells, sum(cells) OVER (PARTITION BY tissue ORDER BY md5('42:' || accession) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ds)
+SELECT tissue, accession, cells FROM r WHERE coalesce(before, 0) < 50000000""")
 def w5(spark, sf):
     rows = datasets(spark, sf).select("tissue", "accession", "cells")
     return R.budget_sample(rows, ["tissue"], "accession", "cells", 5e7)
@@ -78,9 +80,9 @@ def w8(spark, sf):
     return R.batches(table(spark, sf, "part").select("p_name", "p_partkey"), ["p_name", "p_partkey"], 200)
 
 
-@query("w9_row_sample")
+@query("w9_row_sample", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE md5('42:' || l_orderkey || ':' || l_linenumber) < '33333333'")
 def w9(spark, sf):
-    return W.row_sample(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), 0.2)
+    return W.row_sample(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), 0.2, ["l_orderkey", "l_linenumber"])
 
 
 @query("o1_mixed_sort", """

@@ -46,12 +46,14 @@ def write_report(parts: Mapping[str, DataFrame], folder: str, kind: str = "csv")
     return places
 
 
-def write_per_dataset(df: DataFrame, path: str, key: str, done: DataFrame | None = None) -> None:
+def write_per_dataset(df: DataFrame, path: str, key: str, done: DataFrame | None = None,
+                      rows_per_file: int = 5_000_000) -> None:
     """One folder per dataset; datasets in `done` are skipped.
 
-    Rows are spread by dataset and a salt taken from the row, so that a large
-    dataset is written by several tasks.
+    A small dataset is one file. A large one is spread by a hash of its rows over
+    as many files as its size asks for, each written by a task of its own.
     """
     todo = df.join(done.select(key).distinct(), key, "left_anti") if done is not None else df
-    salted = todo.repartition(F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-    salted.write.mode("append").partitionBy(key).parquet(path)
+    sizes = todo.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    salted = todo.join(sizes, key).withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.col("_files")))
+    salted.repartition(F.col(key), F.col("_file")).drop("_files", "_file").write.mode("append").partitionBy(key).parquet(path)
