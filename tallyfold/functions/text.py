@@ -74,8 +74,8 @@ def map_label(c: Column | str, mapping: Mapping[str, str], keep_unmapped: bool =
 
 
 def capture(c: Column | str, pattern: str, group: int = 1) -> Column:
-    """A capture group, or null where the pattern does not match."""
-    return F.when(_col(c).rlike(pattern), F.regexp_extract(_col(c), pattern, group))
+    """A capture group, or null where the pattern does not match or the group is empty."""
+    return F.nullif(F.regexp_extract(_col(c), pattern, group), F.lit(""))
 
 
 def stand_in_id(c: Column | str, strip: str = "ARC", prefix: str = "1") -> Column:

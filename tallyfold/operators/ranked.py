@@ -1,18 +1,23 @@
 """Distributed order statistics: running weights, ranks, quantiles.
 
 A window over one big group would sort that group in a single task. Here rows
-are range-partitioned on the full order first; a window then runs within each
-(group, range) and the small table of range totals supplies the offsets.
+are cut into ranges of the order first; a window then runs within each (group,
+range) and the small table of range totals supplies the offsets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import materialize
 
+# Ranges used to find quantiles: at least and at most so many, with about so many rows each.
+MIN_CUTS, MAX_CUTS, ROWS_PER_CUT = 16, 2000, 250_000
+SAMPLE_PER_CUT = 50
+
 
 def running_weight(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
                    weight: str | None = None) -> DataFrame:
@@ -94,12 +99,27 @@ def _positions(q: float, method: str, total: Column) -> tuple[Column, Column, Co
     return low, F.ceil(at), at - low
 
 
+def _cut_points(df: DataFrame, value: str) -> list[float]:
+    """Values that split the rows into ranges of about equal size, more of them for larger tables.
+
+    Taken from a sample of bounded size; any cuts give exact ranks, good ones give even ranges.
+    """
+    n = df.count()
+    wanted = min(MAX_CUTS, max(MIN_CUTS, n // ROWS_PER_CUT))
+    share = min(1.0, wanted * SAMPLE_PER_CUT / max(n, 1))
+    taken = sorted(r[0] for r in df.select(value).sample(share, seed=7).collect())
+    cuts = sorted(set(taken[:: max(1, len(taken) // wanted)]))
+    return [c for c in cuts if abs(c) != float("inf")] or [0.0]
+
+
 def group_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float],
                     method: str = "linear") -> DataFrame:
     """Exact quantiles per group: `linear` interpolates, `nearest` picks a row.
 
-    Missing values, NaN included, do not count. Equal values are counted together
-    first, so the ranked rows are the distinct (group, value) pairs.
+    Missing values, NaN included, do not count. The rows are counted per group
+    and value range first; only the ranges that hold a wanted rank are then
+    sorted, so neither a large group nor the whole column is ever ordered. Reads
+    its input four times: write out an expensive one before.
     """
     if method == "approx":
         return df.groupBy(*by).agg(
@@ -110,17 +130,38 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Map
     by = list(by)
     known = df.select(*by, F.col(value).cast("double").alias("_value")).where(
         F.col("_value").isNotNull() & ~F.isnan("_value"))
-    counts = known.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_weight(counts, ["_value", *by], by=by, weight="_n")
-    first, after = F.col("_before"), F.col("_before") + F.col("_n")
+    splits = [float("-inf"), *_cut_points(known, "_value"), float("inf")]
+    rows = Bucketizer(splits=splits, inputCol="_value", outputCol="_range").transform(known)
+
+    sizes = rows.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    placed = sizes.select(
+        *by, "_range", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(W.partitionBy(*by)).alias("_total"))
+    ranks = {name: _positions(q, method, F.col("_total")) for name, q in quantiles.items()}
+    after = F.col("_offset") + F.col("_n")
+    wanted = F.lit(False)
+    for low, high, _ in ranks.values():
+        for rank in (low, high):
+            wanted = wanted | ((F.col("_offset") <= rank) & (rank < after))
+    targets = placed.where(wanted).drop("_n")
+
+    keyed = [F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+    near = rows.alias("r").join(targets.alias("t"), [F.col("r._range") == F.col("t._range"), *keyed]).select(
+        "r.*", "t._offset", "t._total")
+    counts = near.groupBy(*by, "_range", "_offset", "_total", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    within = W.partitionBy(*by, "_range").orderBy("_value").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_offset") + F.coalesce(F.sum("_n").over(within), F.lit(0))
+    ranked = counts.withColumn("_before", before)
+    first, last = F.col("_before"), F.col("_before") + F.col("_n")
     picks, out = [], []
-    for name, q in quantiles.items():
-        low, high, share = _positions(q, method, F.col("_total"))
+    for name, (low, high, share) in ranks.items():
         for side, rank in (("lo", low), ("hi", high)):
-            picks.append(F.max(F.when((first <= rank) & (rank < after), F.col("_value"))).alias(f"_{side}_{name}"))
+            picks.append(F.max(F.when((first <= rank) & (rank < last), F.col("_value"))).alias(f"_{side}_{name}"))
         picks.append(F.max(share).alias(f"_share_{name}"))
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * F.col(f"_share_{name}")).alias(name))
+        step = F.when(lo != hi, (hi - lo) * F.col(f"_share_{name}")).otherwise(0.0)
+        out.append((lo + step).alias(name))
     return ranked.groupBy(*by).agg(*picks).select(*by, *out)
 
 

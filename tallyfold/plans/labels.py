@@ -88,7 +88,7 @@ def sample_sheet(runs: DataFrame, name_pattern: str = r"^(.+)_(L[0-9]+)$", must_
     `runs` is `(name, experiment, run)`. Names without a lane or without the
     required text are left out; all lanes of a name get its first experiment.
     """
-    parsed = runs.select(
+    parsed = runs.where(F.col("name").contains(must_contain)).select(
         capture("name", name_pattern, 1).alias("name"), capture("name", name_pattern, 2).alias("lane"),
         F.col("experiment").alias("sample"), F.col("run").alias("accession"),
     ).where(F.col("lane").isNotNull() & F.col("name").contains(must_contain))
