@@ -17,13 +17,12 @@ g AS (SELECT p.period, o.{by}, CAST(coalesce(cells, 0) AS BIGINT) AS cells FROM
 
 
 @query("c1_complete_grid", """
-WITH s AS (SELECT o_custkey AS collection, o_orderpriority AS tech, o_orderstatus AS status, sum(o_totalprice) AS cells, max(o_totalprice) AS peak FROM orders
-  WHERE o_totalprice > 480000 GROUP BY 1, 2, 3)
+WITH s AS (SELECT o_custkey AS collection, o_orderpriority AS tech, o_orderstatus AS status, sum(o_totalprice) AS cells, max(o_totalprice) AS peak FROM orders GROUP BY 1, 2, 3)
 SELECT a.collection, b.tech, c.status, round(coalesce(cells, 0), 2) AS cells, round(coalesce(peak, 0), 2) AS peak FROM (SELECT DISTINCT collection FROM s) a
 CROSS JOIN (SELECT DISTINCT tech FROM s) b CROSS JOIN (SELECT DISTINCT status FROM s) c
 LEFT JOIN s ON s.collection = a.collection AND s.tech = b.tech AND s.status = c.status""")
 def c1(spark, sf):
-    sums = table(spark, sf, "orders").where("o_totalprice > 480000").groupBy(
+    sums = table(spark, sf, "orders").groupBy(
         F.col("o_custkey").alias("collection"), F.col("o_orderpriority").alias("tech"), F.col("o_orderstatus").alias("status")).agg(
         F.sum("o_totalprice").alias("cells"), F.max("o_totalprice").alias("peak"))
     return rounded(complete(sums, ["collection", "tech", "status"]), 2)
@@ -133,24 +132,24 @@ def c5c(spark, sf):
     return rounded(retained_fractions(_cells(spark, sf), ["species", "dataset"], **LIMITS), 6)
 
 
+FILE_CODES = [(float(i + 1), step, name) for i, (step, name) in enumerate(
+    sorted({(p, f) for (_, p), names in catalogues.REQUIRED_FILES.items() for f in names}))]
+
+
 def _manifest(spark, sf):
-    """File rows per supplier: which of the required files exist depends on its lines."""
-    files = sorted({(p, f) for (_, p), fs in catalogues.REQUIRED_FILES.items() for f in fs})
-    listed = F.explode(F.array(*[F.struct(F.lit(p).alias("processing"), F.lit(f).alias("file"), F.lit(i).alias("i")) for i, (p, f) in enumerate(files)]))
-    groups = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-    return groups.select(
+    """A supplier is an accession, a return flag a feature; a line's quantity tells which file it stands for."""
+    codes = spark.createDataFrame(FILE_CODES, "l_quantity double, processing string, file string")
+    return table(spark, sf, "lineitem").join(codes, "l_quantity").select(
         F.concat(F.lit("SRX"), F.col("l_suppkey").cast("string")).alias("accession"),
-        F.when(F.col("l_returnflag") == "A", "Velocyto").otherwise(F.col("l_returnflag")).alias("feature"), "n", listed.alias("f"),
-    ).where("(n + f.i) % 50 <> 0").select("accession", "feature", "f.processing", "f.file")
+        F.when(F.col("l_returnflag") == "A", "Velocyto").otherwise(F.col("l_returnflag")).alias("feature"), "processing", "file")
 
 
 def _manifest_sql() -> str:
-    files = sorted({(p, f) for (_, p), fs in catalogues.REQUIRED_FILES.items() for f in fs})
-    listed = ", ".join(f"({i}, '{p}', '{f}')" for i, (p, f) in enumerate(files))
-    required = ", ".join(f"('{k}', '{p}', '{f}')" for (k, p), fs in catalogues.REQUIRED_FILES.items() for f in fs)
-    return f"""fl(i, processing, file) AS (VALUES {listed}), rq(rule, processing, file) AS (VALUES {required}),
-gr AS (SELECT 'SRX' || l_suppkey AS accession, CASE WHEN l_returnflag = 'A' THEN 'Velocyto' ELSE l_returnflag END AS feature, count(*) AS n FROM lineitem GROUP BY 1, 2),
-mf AS (SELECT accession, feature, processing, file FROM gr, fl WHERE (n + i) % 50 <> 0),
+    codes = ", ".join(f"({c}, '{p}', '{f}')" for c, p, f in FILE_CODES)
+    required = ", ".join(f"('{k}', '{p}', '{f}')" for (k, p), names in catalogues.REQUIRED_FILES.items() for f in names)
+    return f"""fl(q, processing, file) AS (VALUES {codes}), rq(rule, processing, file) AS (VALUES {required}),
+mf AS (SELECT 'SRX' || l_suppkey AS accession, CASE WHEN l_returnflag = 'A' THEN 'Velocyto' ELSE l_returnflag END AS feature, processing, file
+  FROM lineitem JOIN fl ON l_quantity = q),
 ms AS (SELECT x.accession, x.feature, rq.processing, rq.file FROM (SELECT DISTINCT accession, feature FROM mf) x
   JOIN rq ON rule = CASE WHEN feature = 'Velocyto' THEN feature ELSE '*' END ANTI JOIN mf ON mf.accession = x.accession AND mf.feature = x.feature AND mf.processing = rq.processing AND mf.file = rq.file)"""
 
