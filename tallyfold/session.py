@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+# folders made for local sessions without a setting, by application id
+_own_folders: dict[str, str] = {}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "tallyfold") -> SparkSession:
     """A session with the settings the operators rely on.
@@ -42,9 +46,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tallyfold-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="tallyfold-")
+    return _own_folders[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

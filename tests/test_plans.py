@@ -267,6 +267,23 @@ def test_per_dataset_output_skips_done(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+class FakeSession:
+    """Just enough of a session to ask for its folder."""
+
+    def __init__(self, master, **conf):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{id(self)}"})()
+        self.conf = conf
+
+
 def test_shared_folder_comes_from_the_session(spark):
-    assert session.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert session.scratch_path(spark, "x").startswith(configured or session.shared_folder(spark))
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+    assert session.shared_folder(FakeSession("spark://host", **{"spark.checkpoint.dir": "hdfs://a/b/"})) == "hdfs://a/b"
+
+
+def test_folder_without_a_setting():
+    local = FakeSession("local[2]")
+    assert session.shared_folder(local) == session.shared_folder(local)
+    with pytest.raises(ValueError):
+        session.shared_folder(FakeSession("spark://host"))
