@@ -19,10 +19,6 @@ KINDS = {"tool": "tool_name", "model": "model_name"}
 SEQUENCE_LIMIT = 10_000
 
 
-def _value_size(c: str):
-    return F.length(F.to_json(F.col(c)))
-
-
 def flatten_runs(runs: DataFrame, kind: str = "tool") -> DataFrame:
     """Nested run records as flat rows: times, status, key lists, sizes, summaries, usage."""
     if kind not in KINDS:
