@@ -82,8 +82,8 @@ def links(distinct: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
 
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3
     pairs = (
-        probes.select(F.col("fingerprint").alias("a"), "key")
-        .join(table.join(dense, "key", "left_anti").select(F.col("fingerprint").alias("b"), "key"), "key")
+        probes.select(F.col("fingerprint").alias("a"), "key").hint("merge")  # its size is not seen before it is spread out
+        .join(table.join(dense, "key", "left_anti").select(F.col("fingerprint").alias("b"), "key").hint("merge"), "key")
         .where((F.col("a") < F.col("b")) & near).select(F.col("b").alias("child"), F.col("a").alias("parent")))
 
     owners = probes.join(dense, "key", "left_semi")
@@ -95,7 +95,7 @@ def links(distinct: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
         "fingerprint", "key", (F.col("beside") | F.col("r.far")).alias("outer"), "other", F.explode("r.masks").alias("mask"))
     points = points.select("fingerprint", "key", "outer", F.col("other").bitwiseXOR(F.col("mask")).alias("point"))
     centres = points.where(~F.col("outer")).groupBy("key", "point").agg(F.min("fingerprint").alias("centre"))
-    stars = points.join(centres, ["key", "point"]).where("fingerprint <> centre").select(
+    stars = points.hint("merge").join(centres.hint("merge"), ["key", "point"]).where("fingerprint <> centre").select(
         F.greatest("fingerprint", "centre").alias("child"), F.least("fingerprint", "centre").alias("parent"))
     return pairs.unionByName(stars).distinct()
 
