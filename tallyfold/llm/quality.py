@@ -21,6 +21,8 @@ BITS = 18
 MAX_ROWS = 20_000
 #: Parts that are trained side by side and averaged after each round.
 PARTS, ROUNDS = 4, 4
+#: Sums of parts are added up as multiples of 1 / UNIT, so their order does not show.
+UNIT = 2.0 ** 36
 #: What may stand at the end of a word.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 #: Hashes of words that a worker remembers.
@@ -151,12 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = StructType([StructField("place", IntegerType()), StructField("z", DoubleType()), StructField("n", DoubleType())])
     for _ in range(rounds):
         state = table.sparkSession.sparkContext.broadcast((z, n))
-        moved = table.groupBy("part").applyInPandas(_trained(size, rule, state), schema).groupBy("place").agg(
-            F.sum(F.col("z").cast("decimal(38,18)")).cast("double").alias("z"),
-            F.sum(F.col("n").cast("decimal(38,18)")).cast("double").alias("n")).toPandas()
+        summed = [F.sum(F.round(F.col(c) * UNIT).cast("long")).alias(c) for c in ("z", "n")]
+        moved = table.groupBy("part").applyInPandas(_trained(size, rule, state), schema).groupBy("place").agg(*summed).toArrow()
         # places that a part has not seen keep their state, so the mean is over the parts that moved them at most
-        z[moved["place"]] += moved["z"].to_numpy() / PARTS
-        n[moved["place"]] += moved["n"].to_numpy() / PARTS
+        at = moved["place"].to_numpy()
+        z[at] += moved["z"].to_numpy() / (UNIT * PARTS)
+        n[at] += moved["n"].to_numpy() / (UNIT * PARTS)
         state.unpersist()
     return rule.weights(z, n)
 
