@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (
     ArrayType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType)
@@ -19,8 +20,8 @@ from .common import arrow_schema, as_bytes, batches, fields, words_of
 BITS = 18
 #: Labelled rows learnt from, at most: those whose ids have the smallest hashes.
 MAX_ROWS = 20_000
-#: Parts that are trained side by side and averaged after each round.
-PARTS, ROUNDS = 4, 4
+#: Parts that are trained side by side and averaged after each round; in a round a part goes through its rows PASSES times.
+PARTS, ROUNDS, PASSES = 4, 4, 3
 #: Sums of parts are added up as multiples of 1 / UNIT, so their order does not show.
 UNIT = 2.0 ** 36
 #: What may stand at the end of a word.
@@ -124,7 +125,8 @@ def _trained(size: int, rule: Rule, state) -> Callable[[pd.DataFrame], pd.DataFr
     def one_part(rows: pd.DataFrame) -> pd.DataFrame:
         z, n = (x.copy() for x in state.value)
         touched = np.zeros(size, bool)
-        for label, places, values in rows.sort_values(["turn", "label"])[["label", "places", "values"]].itertuples(index=False):
+        ordered = list(rows.sort_values(["turn", "label"])[["label", "places", "values"]].itertuples(index=False))
+        for label, places, values in ordered * PASSES:
             w = rule.weights(z[places], n[places])
             g = (probability(float(w @ values)) - label) * values
             after = n[places] + g * g
@@ -142,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """2^bits weights, the last one the bias. Without a labelled document all are zero and every score is 0.5.
 
     The rows fall into PARTS parts by the hash of their id. In each round every
-    part goes through its rows in a fixed order, updating its own copy of the
+    part goes through its rows in a fixed order, PASSES times, updating its own copy of the
     state, and the states are averaged; the result does not depend on the
     number of tasks. A part holds at most its share of `max_rows` documents,
     and the driver 2^bits sums.
@@ -183,3 +185,20 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
     texts = docs.select(id_col, *keep, as_bytes(text_col).alias("_text"))
     return texts.mapInArrow(lambda s: batches(out, rows(s)), schema)
+
+
+def well_scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of `docs` that score `least` or more, with all their columns, whatever these are called."""
+    bits = int(len(weights)).bit_length() - 1
+    shared, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index(text_col)
+
+    def run(source):
+        w = shared.value
+        for batch in source:
+            margins = []
+            for text in batch.column(at).cast(pa.binary()):
+                places, values = features(text.as_py(), bits)
+                margins.append(float(w[places] @ values))
+            yield batch.filter(pa.array([probability(m) >= least for m in margins], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
