@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from .common import arrow_schema, as_bytes, batches, fields
 
 #: Distinct pieces of text whose ids a worker remembers (about 200 bytes each).
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Signs that end a word; the pattern of byte-level files makes a run of them one token group. No apostrophe, which opens others.
 MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\""
 #: Largest tokenizer file that is shipped to the tasks.
