@@ -103,7 +103,7 @@ def rank_genes(counts: DataFrame, cells: DataFrame, group: str, top_n: int | Non
         F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")), "sums")
     genes = sums.groupBy("gene_id").agg(F.sum("s").alias("all_s"), F.sum("ss").alias("all_ss"))
     n_all = sizes.agg(F.sum("n1").alias("n")).scalar()
-    full = all_combinations(sizes, genes).join(sums, [group, "gene_id"], "left").fillna({"s": 0.0, "ss": 0.0})
+    full = all_combinations(genes, sizes).join(sums, [group, "gene_id"], "left").fillna({"s": 0.0, "ss": 0.0})
     n1, n2 = F.col("n1"), F.col("n2")
     m1, m2 = F.col("m1"), F.col("m2")
     scored = (

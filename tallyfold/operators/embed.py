@@ -8,15 +8,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import BucketedRandomProjectionLSH, StandardScaler, StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import StandardScaler, StringIndexer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import map_label
+from ..session import materialize
 from .joins import null_safe_join
-from .ranked import group_quantiles, running_weight
+from .ranked import group_quantiles
 from .windows import first_n
 
 # Fixed value: columns of the published cell embedding.
@@ -100,7 +102,7 @@ def annotate(df: DataFrame, part: str, features: str, models: Mapping[str, Tissu
              name: str = "cell_type") -> DataFrame:
     """Adds the predicted label; rows of tissues without a model are left out.
 
-    One pass over the cells in Arrow batches, each batch scored per tissue.
+    A row whose vector is null, of another width or not finite has no label. One pass over the cells in Arrow batches, each batch scored per tissue.
     """
     size = sum(m.weights.nbytes + m.mean.nbytes * 2 for m in models.values())
     if size > MAX_WEIGHT_BYTES:
@@ -114,65 +116,122 @@ def annotate(df: DataFrame, part: str, features: str, models: Mapping[str, Tissu
         for pdf in parts:
             pdf[name] = None
             for tissue, at in pdf.groupby(pdf[part].astype(str)).groups.items():
-                x = np.stack(pdf.loc[at, features].to_numpy()).astype(np.float64)
-                pdf.loc[at, name] = shipped.value[tissue].predict(x)
+                model = shipped.value[tissue]
+                usable = [i for i in at if _is_vector(pdf.at[i, features], len(model.mean))]
+                if usable:
+                    x = np.stack([np.asarray(pdf.at[i, features], np.float64) for i in usable])
+                    pdf.loc[usable, name] = model.predict(x)
             yield pdf[[*columns, name]]
 
     return rows.mapInPandas(score, schema)
 
 
-def _near_in_block(k: int, reach: int, block: int):
-    """Compares the rows of one block with the rows that follow them in the order."""
+def _is_vector(value, width: int) -> bool:
+    """Whether a value has `width` finite components."""
+    if value is None or np.ndim(value) != 1 or len(value) != width or any(x is None for x in value):
+        return False
+    return bool(np.isfinite(np.asarray(value, np.float64)).all())
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at", ignore_index=True)
-        ids, at = pdf["id"].to_numpy(), pdf["_at"].to_numpy()
-        x = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
-        own = (at // block) == pdf["_block"].to_numpy()[0]
+
+def nearest_mean_models(df: DataFrame, part: str, features: str, label: str) -> dict[str, TissueModel]:
+    """One model per tissue that names the label with the nearest mean vector; one aggregate for all tissues.
+
+    The driver receives one row per (tissue, label).
+    """
+    parts = df.where(F.col(part).isNotNull() & F.col(label).isNotNull()).select(
+        F.col(part).cast("string").alias("p"), F.col(label).cast("string").alias("l"), F.posexplode(features).alias("i", "x"))
+    means = parts.groupBy("p", "l", "i").agg(F.avg("x").alias("m")).groupBy("p", "l").agg(
+        F.sort_array(F.collect_list(F.struct("i", "m"))).alias("mean"))
+    found: dict[str, list[tuple[str, list[float]]]] = {}
+    for r in means.orderBy("p", "l").collect():
+        found.setdefault(r.p, []).append((r.l, [x.m for x in r["mean"]]))
+    models = {}
+    for tissue, labels in found.items():
+        m = np.array([mean for _, mean in labels])
+        width = m.shape[1]
+        models[tissue] = TissueModel(np.zeros(width), np.ones(width), 2 * m, -(m * m).sum(axis=1), tuple(l for l, _ in labels))
+    return models
+
+
+def _nearest_in_block(k: int):
+    """The k rows of a block that lie nearest to each row that asks."""
+
+    def compare(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"id": asking["id"].iloc[:0], "neighbour": held["id"].iloc[:0], "distance": np.zeros(0)})
+        if not len(held) or not len(asking):
+            return empty
+        held = held.sort_values("id", ignore_index=True)
+        ids, x = held["id"].to_numpy(), np.stack(held["v"].to_numpy()).astype(np.float64)
         parts = []
-        for step in range(1, min(reach, len(x) - 1) + 1):
-            first = np.flatnonzero(own[:-step])
-            gap = x[first] - x[first + step]
-            far = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-            parts.append(pd.DataFrame({"id": ids[first], "neighbour": ids[first + step], "distance": far}))
-            parts.append(pd.DataFrame({"id": ids[first + step], "neighbour": ids[first], "distance": far}))
-        if not parts:
-            return pd.DataFrame({"id": ids[:0], "neighbour": ids[:0], "distance": np.zeros(0)})
-        near = pd.concat(parts).sort_values(["id", "distance", "neighbour"])
-        return near.groupby("id", sort=False).head(k)
+        for i in range(0, len(asking), 16):
+            some = asking.iloc[i:i + 16]
+            gap = np.stack(some["v"].to_numpy()).astype(np.float64)[:, None] - x[None]
+            far = np.sqrt(np.einsum("abj,abj->ab", gap, gap))
+            far[some["id"].to_numpy()[:, None] == ids[None]] = np.inf
+            at = np.argsort(far, axis=1, kind="stable")[:, :k]
+            parts.append(pd.DataFrame({"id": np.repeat(some["id"].to_numpy(), at.shape[1]), "neighbour": ids[at.ravel()],
+                                       "distance": np.take_along_axis(far, at, axis=1).ravel()}))
+        near = pd.concat(parts)
+        return near[np.isfinite(near["distance"])]
 
     return compare
 
 
-def neighbours(df: DataFrame, id_col: str, vector: str, k: int, directions: int = 8, reach: int = 16,
-               block: int = 512, seed: int = 42) -> DataFrame:
-    """Approximate k nearest neighbours `(id, neighbour, distance, rank)`.
+def _cells(points: DataFrame, cells: int, probes: int, sample: int, seed: int, n: int) -> DataFrame:
+    """`(id, v, home, near)`: the nearest centre of each row and its `probes` nearest ones."""
+    if cells == 1:
+        return points.select("id", "v", F.lit(0).alias("home"), F.array(F.lit(0)).alias("near"))
+    share = min(1.0, sample / n)
+    picked = points.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    fitted = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="x").fit(picked.select(array_to_vector("v").alias("x")))
+    centres = points.sparkSession.sparkContext.broadcast(np.array(fitted.clusterCenters()))
 
-    The rows are sorted along several random directions and each row is compared
-    with the `reach` rows on either side. That is a fixed amount of work per row
-    however many copies or near-copies there are; more directions or a longer
-    reach raise the recall, and a reach of the table size is exact.
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = centres.value
+        squares = (c * c).sum(axis=1)
+        for pdf in parts:
+            near = []
+            for i in range(0, len(pdf), 256):
+                x = np.stack(pdf["v"].iloc[i:i + 256].to_numpy()).astype(np.float64)
+                near += np.argsort(squares - 2 * x @ c.T, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist()
+            yield pdf.assign(home=[int(r[0]) for r in near], near=near)
+
+    return points.mapInPandas(place, StructType([*points.schema.fields, StructField("home", IntegerType()),
+                                                 StructField("near", ArrayType(IntegerType()))]))
+
+
+def neighbours(df: DataFrame, id_col: str, vector: str, k: int, cell_rows: int = 1024, probes: int = 8,
+               block: int = 2048, sample: int = 200_000, max_cells: int = 16_384, seed: int = 42) -> DataFrame:
+    """Approximate k nearest neighbours `(id, neighbour, distance, rank)`.
 
-    Sorted rows are cut into blocks of `block` rows; a block also gets the
-    `reach` rows after it, so a vector moves about once per direction.
+    Rows fall into cells around centres, about `cell_rows` in each, so there are
+    more cells as the table grows; a row is compared with all rows of its
+    `probes` nearest cells. Tables of up to `cell_rows * probes` rows are
+    compared in full. The centres (at most `max_cells`, which bounds what is
+    sent to the tasks) are fitted on about `sample` rows. Large cells are split
+    into blocks, and so are the rows that ask them: a task holds one block of
+    each, and every block is met. Rows with a null id or vector take no part.
     """
-    points = df.select(F.col(id_col).alias("id"), array_to_vector(vector).alias("_x"))
-    hashes = BucketedRandomProjectionLSH(
-        inputCol="_x", outputCol="_h", bucketLength=1e-6, numHashTables=directions, seed=seed).fit(points)
-    scores = hashes.transform(points).select("id", F.posexplode("_h").alias("_d", "_h")).select(
-        "id", "_d", vector_to_array("_h")[0].alias("_score"))
-    ordered = running_weight(scores, ["_d", "_score", "id"], by=["_d"]).select("id", "_d", F.col("_before").alias("_at"))
-    own = F.floor(F.col("_at") / block)
-    spilled = F.floor((F.col("_at") - reach) / block)
-    blocks = F.when((spilled < own) & (own > 0), F.sequence(F.greatest(spilled, F.lit(0)), own)).otherwise(F.array(own))
-    placed = ordered.withColumn("_block", F.explode(blocks)).join(
-        df.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")), "id")
-    schema = StructType([StructField("id", placed.schema["id"].dataType),
-                         StructField("neighbour", placed.schema["id"].dataType),
+    points = materialize(df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null"), "points")
+    n = points.count()
+    cells = max(1, min(max_cells, round(n / cell_rows)))
+    placed = materialize(_cells(points, cells, min(probes, cells), sample, seed, n), "placed")
+    sizes = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    asked = placed.select("id", "v", F.explode("near").alias("cell"))
+    loads = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("pieces"))
+    plan = materialize(sizes.join(loads, "cell"), "cells")
+    held = placed.select("id", "v", F.col("home").alias("cell")).join(plan, "cell").select(
+        "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "id", "v")
+    asking = asked.join(plan, "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.col("pieces")).cast("int").alias("piece"),
+        F.col("id").alias("id"), F.col("v").alias("v"))
+    schema = StructType([StructField("id", points.schema["id"].dataType), StructField("neighbour", points.schema["id"].dataType),
                          StructField("distance", DoubleType())])
-    near = placed.groupBy("_d", "_block").applyInPandas(_near_in_block(k, reach, block), schema)
-    unique = near.groupBy("id", "neighbour").agg(F.min("distance").alias("distance"))
-    return first_n(unique, ["id"], [F.col("distance"), F.col("neighbour")], k, "rank")
+    keys = ["cell", "block", "piece"]
+    near = held.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(_nearest_in_block(k), schema)
+    return first_n(near, ["id"], [F.col("distance"), F.col("neighbour")], k, "rank")
 
 
 def silhouette(df: DataFrame, vector: str, cluster: str) -> float:

@@ -216,11 +216,13 @@ def _flat(spark, sf, kind="tool"):
 WITH {RUNS} SELECT CAST(trace_id AS VARCHAR) AS trace_id, CAST(count(*) AS BIGINT) AS run_count, round(sum(duration_seconds), 4) AS total_duration,
   CAST(count(*) FILTER (WHERE has_error) AS BIGINT) AS error_count, CAST(count(DISTINCT tool_name) AS BIGINT) AS unique_names,
   arg_min(tool_name, (start_time, CAST(run_id AS VARCHAR))) AS first_name, arg_max(tool_name, (start_time, CAST(run_id AS VARCHAR))) AS last_name,
-  strftime(min(start_time), '%Y-%m-%d %H:%M:%S') AS workflow_start, round(sum(duration_seconds) / count(*), 8) AS avg_duration,
+  strftime(min(start_time), '%Y-%m-%d %H:%M:%S') AS workflow_start,
+  strftime(arg_max(make_timestamp(epoch_us(start_time) + CAST(round(duration_seconds * 1e6) AS BIGINT)), (start_time, CAST(run_id AS VARCHAR))), '%Y-%m-%d %H:%M:%S') AS workflow_end, round(sum(duration_seconds) / count(*), 8) AS avg_duration,
   round(1 - count(*) FILTER (WHERE has_error) / count(*), 8) AS success_rate FROM runs GROUP BY 1""")
 def a20(spark, sf):
-    out = runlog.workflow_summary(_flat(spark, sf)).drop("workflow_end")
-    out = out.withColumns({"total_duration": F.round("total_duration", 4), "workflow_start": F.date_format("workflow_start", "yyyy-MM-dd HH:mm:ss")})
+    out = runlog.workflow_summary(_flat(spark, sf))
+    shown = {n: F.date_format(n, "yyyy-MM-dd HH:mm:ss") for n in ("workflow_start", "workflow_end")}
+    out = out.withColumns({"total_duration": F.round("total_duration", 4), **shown})
     return rounded(out, 8)
 
 

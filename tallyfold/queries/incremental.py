@@ -13,18 +13,17 @@ from .registry import query, table
 
 def _progress(spark, sf):
     done = table(spark, sf, "orders").where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(
-        F.when(F.max("o_totalprice") > 450000, "failed").otherwise("ok").alias("status")).where("o_custkey > 0")
-    done = materialize(done, "done")
+        F.when(F.max("o_totalprice") > 450000, "failed").otherwise("ok").alias("status"))
     return table(spark, sf, "orders").select("o_custkey"), done
 
 
-DONE = """dn AS (SELECT o_custkey, CASE WHEN max(o_totalprice) > 450000 THEN 'failed' ELSE 'ok' END AS status FROM orders WHERE o_orderstatus <> 'P' AND o_custkey > 0 GROUP BY 1)"""
+DONE = """dn AS (SELECT o_custkey, CASE WHEN max(o_totalprice) > 450000 THEN 'failed' ELSE 'ok' END AS status FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)"""
 
 
 @query("m1_pending_keys", f"WITH {DONE} SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM dn WHERE status = 'ok')")
 def m1(spark, sf):
     rows, done = _progress(spark, sf)
-    return pending(rows, done, "o_custkey")
+    return pending(rows, materialize(done, "done"), "o_custkey")
 
 
 @query("m1_carry_on", f"""
@@ -32,7 +31,9 @@ WITH {DONE} SELECT o_custkey, status FROM dn WHERE status = 'ok' UNION ALL
 SELECT DISTINCT o_custkey, 'again' FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM dn WHERE status = 'ok')""")
 def m1b(spark, sf):
     rows, done = _progress(spark, sf)
-    return carry_on(rows, done, "o_custkey", lambda todo: todo.withColumn("status", F.lit("again")))
+    path = scratch_path(spark, "results")
+    done.write.parquet(path)
+    return carry_on(rows, path, done.schema, "o_custkey", lambda todo: todo.withColumn("status", F.lit("again")), chunk_rows=50_000)
 
 
 @query("m2_follow_files", """
@@ -45,8 +46,13 @@ def m2(spark, sf):
         return batch.select("o_custkey", F.col("o_orderkey").alias("last_order"), F.col("o_orderpriority").alias("priority"),
                             (-F.col("o_orderkey")).alias("newest_first"))
 
-    source = table(spark, sf, "orders").schema
-    return follow_files(spark, sf, source, target, ["newest_first"], pattern="orders.parquet", prepare=newest)
+    # two arrivals: the older half of the orders, then the newer one, each followed by a call
+    orders, inbox = table(spark, sf, "orders"), scratch_path(spark, "inbox")
+    older = F.col("o_orderkey") <= orders.agg(F.max("o_orderkey")).first()[0] // 2
+    for arrived in (orders.where(older), orders.where(~older)):
+        arrived.write.mode("append").parquet(inbox)
+        latest = follow_files(spark, inbox, orders.schema, target, ["newest_first"], prepare=newest)
+    return latest
 
 
 @query("m3_isolated_failures", """

@@ -50,10 +50,15 @@ def write_per_dataset(df: DataFrame, path: str, key: str, done: DataFrame | None
                       rows_per_file: int = 5_000_000) -> None:
     """One folder per dataset; datasets in `done` are skipped.
 
-    A small dataset is one file. A large one is spread by a hash of its rows over
-    as many files as its size asks for, each written by a task of its own.
+    A small dataset is one file. A large one is spread by a hash of its row
+    numbers over as many files as its size asks for, each written by a task of
+    its own. A null key is a dataset like any other.
     """
-    todo = df.join(done.select(key).distinct(), key, "left_anti") if done is not None else df
-    sizes = todo.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
-    salted = todo.join(sizes, key).withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.col("_files")))
-    salted.repartition(F.col(key), F.col("_file")).drop("_files", "_file").write.mode("append").partitionBy(key).parquet(path)
+    todo = df
+    if done is not None:
+        seen = done.select(F.col(key).alias("_seen")).distinct()
+        todo = df.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
+    sizes = todo.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    numbered = todo.withColumn("_row", F.monotonically_increasing_id())
+    salted = numbered.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_file", F.pmod(F.xxhash64("_row"), F.col("_files")))
+    salted.repartition(F.col(key), F.col("_file")).select(df.columns).write.mode("append").partitionBy(key).parquet(path)

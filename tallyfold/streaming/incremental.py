@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.joins import first_row
-from ..session import scratch_path
+from ..session import materialize
 
 
 def pending(df: DataFrame, done: DataFrame, key: str, retry_failed: bool = True) -> DataFrame:
@@ -24,25 +26,56 @@ def pending(df: DataFrame, done: DataFrame, key: str, retry_failed: bool = True)
     return first_row(df, [key], [key]).join(finished.select(key).distinct(), key, "left_anti")
 
 
-def carry_on(df: DataFrame, done: DataFrame, key: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Earlier results plus the results of the pending keys, which replace failed ones."""
-    new = work(pending(df, done, key))
-    return done.join(new.select(key), key, "left_anti").unionByName(new)
+def results_at(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows written by `carry_on`, with the run that wrote them in `_run`; empty if there are none yet."""
+    full = StructType([*schema.fields, StructField("_run", LongType())])
+    return _read(spark, path, full).fillna(0, ["_run"])
 
 
-def isolated(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType) -> DataFrame:
+def carry_on(df: DataFrame, path: str, schema: StructType, key: str, work: Callable[[DataFrame], DataFrame],
+             chunk_rows: int = 100_000) -> DataFrame:
+    """Runs `work` on the keys that have no result at `path` yet, and returns the newest result of every key.
+
+    The pending keys are written out and fall into chunks of about `chunk_rows`
+    by the hash of the key. Each chunk is worked on once and its results are
+    appended before the next one starts, so a run that is cut off loses one
+    chunk at most and the next run goes on behind it.
+    """
+    spark = df.sparkSession
+    done = results_at(spark, path, schema)
+    run = done.agg(F.coalesce(F.max("_run"), F.lit(0)) + 1).first()[0]
+    todo = materialize(pending(df, newest_results(done, key), key), "pending")
+    chunks = -(-todo.count() // chunk_rows)
+    for chunk in range(chunks):
+        part = todo.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == chunk)
+        work(part).select(schema.names).withColumn("_run", F.lit(run).cast("long")).write.mode("append").parquet(path)
+    return newest_results(results_at(spark, path, schema), key).drop("_run")
+
+
+def newest_results(results: DataFrame, key: str) -> DataFrame:
+    return first_row(results, [key], ["_run"], last=True)
+
+
+def isolated(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType,
+             timeout: float | None = None) -> DataFrame:
     """Runs `work` on Arrow batches; a row that makes it fail gets nulls and its error.
 
     `work` returns one row per row it gets, with the columns of `schema`;
-    `status` and `error` are added. A failing batch is halved until the rows at
-    fault stand alone, so the others cost little more than without failures.
+    `status` and `error` are added. A failing batch, or one that returns another
+    number of rows, is halved until the rows at fault stand alone, so the others
+    cost little more than without failures. With a `timeout`, rows are worked on
+    one by one and a row that takes more seconds has failed.
     """
     full = StructType([*schema.fields, StructField("status", StringType()), StructField("error", StringType())])
     names = [f.name for f in schema.fields]
 
     def attempt(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         try:
-            yield work(pdf)[names].assign(status="ok", error=None)
+            with _time_limit(timeout):
+                out = work(pdf)[names]
+            if len(out) != len(pdf):
+                raise ValueError(f"{len(out)} rows returned for {len(pdf)}")
+            yield out.assign(status="ok", error=None)
         except Exception as e:  # whatever one item raises must not end the others
             if len(pdf) > 1:
                 half = len(pdf) // 2
@@ -54,65 +87,81 @@ def isolated(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            if len(pdf):
-                yield from attempt(pdf)
+            step = len(pdf) if timeout is None else 1
+            for i in range(0, len(pdf), step or 1):
+                yield from attempt(pdf.iloc[i:i + step])
 
     return df.mapInPandas(run, full)
 
 
+@contextmanager
+def _time_limit(seconds: float | None) -> Iterator[None]:
+    """Raises TimeoutError inside the block once the time is over. Tasks run in the main thread of their worker."""
+    if seconds is None:
+        yield
+        return
+
+    def over(*_):
+        raise TimeoutError(f"more than {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, over)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Parquet rows below a path, none if nothing was written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 class VersionedTable:
-    """A keyed parquet table that grows by deltas: the newest row of a key counts.
+    """A keyed parquet table that grows by batches: the newest row of a key counts.
 
-    A batch writes its own rows only; reading merges the deltas since the last
-    full copy, and every `compact_every` batches a new full copy is written.
-    Folders are named by the batch, so a batch that runs again after a failure
-    finds its delta or writes the same one.
+    Rows lie in one partition per batch. A batch overwrites its own partition
+    only, so one that runs again after a failure changes nothing. The checkpoint
+    that numbers the batches belongs to the table and lies beside its rows.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], compact_every: int = 32):
-        self.spark, self.path, self.schema = spark, path, schema
-        self.keys, self.compact_every = list(keys), compact_every
-
-    def _folder(self, kind: str, version: int) -> str:
-        return f"{self.path}/{kind}-{version:09d}"
-
-    def _finished(self, kind: str) -> list[int]:
-        """Versions of a kind that were written to the end."""
-        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}-*/_SUCCESS")
-        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
-        return sorted(int(f.getPath().getParent().getName().split("-")[-1]) for f in found or [])
-
-    def last_version(self) -> int:
-        return max(self._finished("delta"), default=-1)
-
-    def at(self, version: int) -> DataFrame:
-        """The table after a batch."""
-        full = max((v for v in self._finished("full") if v <= version), default=-1)
-        deltas = [v for v in self._finished("delta") if full < v <= version]
-        parts = [(full, self._folder("full", full))] * (full >= 0) + [(v, self._folder("delta", v)) for v in deltas]
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        read = self.spark.read.schema(self.schema)
-        rows = reduce(DataFrame.unionByName, [read.parquet(p).withColumn("_version", F.lit(v)) for v, p in parts])
-        return first_row(rows, self.keys, ["_version"], last=True).select(self.schema.names)
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]):
+        self.spark, self.schema, self.keys = spark, schema, list(keys)
+        self.rows, self.checkpoint = f"{path}/rows", f"{path}/checkpoint"
+
+    def read(self) -> DataFrame:
+        """One row per key, that of its last batch."""
+        full = StructType([*self.schema.fields, StructField("_version", LongType())])
+        return first_row(_read(self.spark, self.rows, full), self.keys, ["_version"], last=True).select(self.schema.names)
 
     def merge(self, incoming: DataFrame, version: int, order_by: Sequence[str]) -> None:
         """Adds the first row by `order_by` of each key of a batch; it replaces what the key had."""
-        if version not in self._finished("delta"):
-            delta = first_row(incoming, self.keys, order_by).select(self.schema.names)
-            delta.write.mode("overwrite").parquet(self._folder("delta", version))
-        if (version + 1) % self.compact_every == 0 and version not in self._finished("full"):
-            self.at(version).write.mode("overwrite").parquet(self._folder("full", version))
+        rows = first_row(incoming, self.keys, order_by).select(*self.schema.names, F.lit(version).cast("long").alias("_version"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_version").parquet(self.rows)
+
+    def check(self) -> None:
+        """Rows without a checkpoint would be overwritten by batches that count from zero again."""
+        kept = StructType([StructField("value", StringType())])
+        try:
+            self.spark.read.schema(kept).text(f"{self.checkpoint}/metadata")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            if not self.read().isEmpty():
+                raise ValueError(f"{self.rows} has rows, but its checkpoint {self.checkpoint} is missing") from e
 
 
 def follow_files(spark: SparkSession, folder: str, schema: StructType, table: VersionedTable,
-                 order_by: Sequence[str], checkpoint: str | None = None, pattern: str = "*.parquet",
+                 order_by: Sequence[str], pattern: str = "*.parquet",
                  prepare: Callable[[DataFrame], DataFrame] = lambda df: df, files_per_batch: int | None = None) -> DataFrame:
-    """Upserts every file that has arrived since the last call, then stops.
-
-    The checkpoint folder remembers the files; pass the same one to go on later.
-    Returns the table after the last batch.
-    """
+    """Upserts every file that has arrived since the last call, then stops. Returns the table after the last batch."""
+    table.check()
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -122,8 +171,7 @@ def follow_files(spark: SparkSession, folder: str, schema: StructType, table: Ve
 
     query = (
         reader.parquet(folder).writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream"))
-        .trigger(availableNow=True).start()
+        .option("checkpointLocation", table.checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return table.at(table.last_version())
+    return table.read()

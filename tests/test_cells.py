@@ -83,28 +83,32 @@ def vectors(spark, n=240, width=8, seed=4):
     return df, spark.createDataFrame(df)
 
 
-def test_neighbours_with_full_reach_are_exact(spark):
-    pdf, df = vectors(spark, 90)
-    x = np.stack(pdf.v)
+def exact(x, k):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
-    got = E.neighbours(df, "id", "v", 4, directions=1, reach=90, block=16).toPandas().sort_values(["id", "rank"])
-    assert (got.neighbour.to_numpy().reshape(90, 4) == d.argsort(1, kind="stable")[:, :4]).all()
-    assert np.allclose(got.distance.to_numpy().reshape(90, 4), np.sort(d, 1)[:, :4])
+    return d.argsort(1, kind="stable")[:, :k], np.sort(d, 1)[:, :k]
 
 
-def test_neighbours_recall_and_copies(spark):
-    pdf, df = vectors(spark)
-    got = E.neighbours(df, "id", "v", 5, directions=12, reach=20, block=64).toPandas()
-    assert (got.groupby("id").size() == 5).all()
-    x = np.stack(pdf.v)
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    true = {(i, j) for i, r in enumerate(d.argsort(1)[:, :5]) for j in r}
-    assert len(true & set(zip(got.id, got.neighbour))) / len(true) > 0.85
-    copies = spark.range(120).select("id", F.array(*[F.lit(1.0)] * 8).alias("v"))
-    same = E.neighbours(copies, "id", "v", 3, directions=2, reach=4, block=16).toPandas()
-    assert (same.distance == 0).all() and (same.groupby("id").size() == 3).all()
+@pytest.mark.parametrize("block", [2048, 16, 7])
+def test_neighbours_of_a_small_table_are_exact(spark, block):
+    pdf, df = vectors(spark, 90)
+    near, far = exact(np.stack(pdf.v), 4)
+    got = E.neighbours(df, "id", "v", 4, block=block).toPandas().sort_values(["id", "rank"])
+    assert (got.neighbour.to_numpy().reshape(90, 4) == near).all() and np.allclose(got.distance.to_numpy().reshape(90, 4), far)
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_recall_does_not_fall_with_the_table(spark, n):
+    pdf, df = vectors(spark, n)
+    got = E.neighbours(df, "id", "v", 5, cell_rows=50, probes=8, block=64).toPandas()
+    true = {(i, j) for i, r in enumerate(exact(np.stack(pdf.v), 5)[0]) for j in r}
+    assert len(got) == 5 * n and len(true & set(zip(got.id, got.neighbour))) / len(true) > 0.9
+
+
+def test_neighbours_of_copies_and_nulls(spark):
+    copies = spark.range(120).select("id", F.when(F.col("id") < 110, F.array(*[F.lit(1.0)] * 8)).alias("v"))
+    same = E.neighbours(copies, "id", "v", 3, cell_rows=20, probes=1, block=16).toPandas()
+    assert (same.distance == 0).all() and len(same) == 330
 
 
 def test_training_and_annotation(spark):
@@ -118,6 +122,17 @@ def test_training_and_annotation(spark):
     assert np.allclose(models["lung"].scale, np.stack(lung.v).std(0))
 
 
+def test_annotation_of_odd_vectors(spark):
+    _, df = vectors(spark)
+    named = df.withColumn("kind", F.concat(F.lit("k"), F.col("label").cast("string")))
+    models = E.nearest_mean_models(named, "tissue", "v", "kind")
+    odd = spark.createDataFrame([(1, "lung", None), (2, "lung", [1.0]), (3, "lung", [float("nan")] * 8), (4, "lung", [None] * 8),
+                                 (5, "none", [0.0] * 8)], "id long, tissue string, v array<double>")
+    assert sorted(tuple(r) for r in E.annotate(odd, "tissue", "v", models).select("id", "cell_type").collect()) == [(i, None) for i in (1, 2, 3, 4)]
+    out = E.annotate(named, "tissue", "v", models)
+    assert out.count() == 240 and out.where("kind = cell_type").count() > 230
+
+
 def test_training_minimises_the_summed_penalty(spark):
     pdf, df = vectors(spark, 120)
     named = df.withColumn("kind", F.col("label").cast("string"))

@@ -1,6 +1,7 @@
 """Analyses, files and resumable work."""
 
 import os
+import time
 from datetime import datetime
 
 import pandas as pd
@@ -223,8 +224,29 @@ def test_pending_and_carry_on(spark, rows):
     done = spark.createDataFrame([("a", "ok"), ("b", "failed")], "k string, status string")
     assert rows(I.pending(df, done, "k")) == [("b",), ("c",), ("d",)]
     assert rows(I.pending(df, done, "k", retry_failed=False)) == [("c",), ("d",)]
-    out = I.carry_on(df, done, "k", lambda todo: todo.withColumn("status", F.lit("ok")))
-    assert rows(out) == [(k, "ok") for k in "abcd"]
+
+
+def test_carry_on_works_once_and_keeps_finished_chunks(spark, rows, tmp_path):
+    df = spark.createDataFrame([(k,) for k in "aabcdefgh"], "k string")
+    done = spark.createDataFrame([("a", "ok"), ("b", "failed")], "k string, status string")
+    path, calls = str(tmp_path / "results"), []
+    done.write.parquet(path)
+
+    def work(todo):
+        keys = [r.k for r in todo.collect()]
+        calls.extend(keys)
+        if len(calls) > 4:
+            raise RuntimeError("cut off")
+        return todo.withColumn("status", F.lit("ok"))
+
+    with pytest.raises(RuntimeError):
+        I.carry_on(df, path, done.schema, "k", work, chunk_rows=2)
+    finished = I.newest_results(I.results_at(spark, path, done.schema), "k").where("status = 'ok'").count() - 1
+    assert 0 < finished < len(calls)
+    again = []
+    out = I.carry_on(df, path, done.schema, "k", lambda todo: again.extend(r.k for r in todo.collect()) or todo.withColumn("status", F.lit("ok")))
+    assert rows(out) == [(k, "ok") for k in "abcdefgh"] and len(again) == len(set(again)) == 7 - finished
+    assert rows(I.carry_on(df, str(tmp_path / "new"), done.schema, "k", lambda t: t.withColumn("status", F.lit("ok")))) == [(k, "ok") for k in "abcdefgh"]
 
 
 def test_isolated_failures(spark, rows):
@@ -238,15 +260,33 @@ def test_isolated_failures(spark, rows):
     assert out[2][3].startswith("ValueError")
 
 
+def test_isolated_rows_that_vanish_or_hang(spark, rows):
+    def short(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[pdf["k"] != "2"]
+
+    schema = StructType([StructField("k", StringType())])
+    df = spark.createDataFrame([(str(i),) for i in range(6)], "k string")
+    assert [r[:2] for r in rows(I.isolated(df, short, schema))] == [(str(i), "failed" if i == 2 else "ok") for i in range(6)]
+
+    def slow(pdf: pd.DataFrame) -> pd.DataFrame:
+        if (pdf["k"] == "3").any():
+            time.sleep(60)
+        return pdf
+
+    out = rows(I.isolated(df, slow, schema, timeout=0.5))
+    assert [r[:2] for r in out] == [(str(i), "failed" if i == 3 else "ok") for i in range(6)]
+    assert out[3][2].startswith("TimeoutError")
+
+
 def test_followed_files(spark, rows, tmp_path):
     schema = StructType([StructField("k", LongType()), StructField("v", StringType())])
-    inbox, table = str(tmp_path / "in"), I.VersionedTable(spark, str(tmp_path / "table"), schema, ["k"], compact_every=2)
+    inbox, table = str(tmp_path / "in"), I.VersionedTable(spark, str(tmp_path / "table"), schema, ["k"])
 
     def arrive(data):
         spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(inbox)
 
     def follow():
-        return I.follow_files(spark, inbox, schema, table, ["v"], checkpoint=str(tmp_path / "check"))
+        return I.follow_files(spark, inbox, schema, table, ["v"])
 
     arrive([(1, "a"), (2, "b"), (2, "c")])
     assert rows(follow()) == [(1, "a"), (2, "b")]
@@ -255,8 +295,11 @@ def test_followed_files(spark, rows, tmp_path):
     assert rows(follow()) == [(1, "a"), (2, None), (3, "d")]
     arrive([(1, "z")])
     assert rows(follow()) == [(1, "z"), (2, None), (3, "d")]
-    table.merge(spark.createDataFrame([(1, "wrong")], schema), 2, ["v"])
-    assert rows(table.at(2)) == [(1, "z"), (2, None), (3, "d")] and rows(table.at(0)) == [(1, "a"), (2, "b")]
+    table.merge(spark.createDataFrame([(1, "z")], schema), 2, ["v"])  # a batch that runs twice
+    assert rows(table.read()) == [(1, "z"), (2, None), (3, "d")]
+    (tmp_path / "table" / "checkpoint").rename(tmp_path / "lost")
+    with pytest.raises(ValueError):
+        follow()
 
 
 def test_per_dataset_output_skips_done(spark, tmp_path):
@@ -267,6 +310,15 @@ def test_per_dataset_output_skips_done(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+def test_per_dataset_output_keeps_null_keys(spark, rows, tmp_path):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "dataset string, v int")
+    path = str(tmp_path / "out")
+    sinks.write_per_dataset(df, path, "dataset", rows_per_file=1)
+    assert rows(spark.read.parquet(path), "dataset", "v") == rows(df)
+    sinks.write_per_dataset(df, path, "dataset", spark.read.parquet(path))
+    assert spark.read.parquet(path).count() == 3
+
+
 class FakeSession:
     """Just enough of a session to ask for its folder."""
 
