@@ -157,6 +157,7 @@ def _joined(parts: DataFrame, index: dict[str, list[Rule]], always: list[Rule])
     texts = materialize(parts.where("_host <> ''").select("_host", "_path").distinct(), "urls")
     text = F.concat("_host", "_path")
     tokens = texts.select("*", F.explode(F.array_append(url_tokens(text), F.lit(""))).alias("token"))
-    fitting = tokens.join(table, "token").where(F.concat("_host", "_path").rlike(F.concat(F.lit("(?s)"), F.col("regex"))))
+    fitting = tokens.join(table, "token").where(
+        F.regexp_like(F.concat("_host", "_path"), F.concat(F.lit("(?s)"), F.col("regex"))))
     best = fitting.groupBy("_host", "_path").agg(F.min(F.struct("length", "host_length", "rule", "verdict")).alias("best"))
     return parts.join(best, ["_host", "_path"], "left").select(*parts.columns, "best.rule", "best.verdict")
