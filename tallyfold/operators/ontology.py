@@ -37,10 +37,10 @@ def cluster_graph(weighted: DataFrame, k: int, max_iter: int = 20) -> DataFrame:
 
 
 def common_roots(edges: DataFrame, membership: DataFrame, top: int = 3, direction: str = "ancestors") -> DataFrame:
-    """Up to `top` lowest common ancestors `(cluster, root)` of each cluster's nodes.
+    """Up to `top` lowest common ancestors `(cluster, root, common)` of each cluster's nodes.
 
     A cluster without a common ancestor gets its nodes that have no parent
-    inside it. `direction='descendants'` follows the edges the other way.
+    inside it, with `common` false. `direction='descendants'` follows the edges the other way.
     """
     if direction not in ("ancestors", "descendants"):
         raise ValueError("direction is ancestors or descendants")
@@ -76,7 +76,7 @@ def common_roots(edges: DataFrame, membership: DataFrame, top: int = 3, directio
         .join(inside, ["cluster", "node"], "left_anti")
         .select("cluster", F.col("node").alias("root"))
     )
-    return best.unionByName(tops)
+    return best.withColumn("common", F.lit(True)).unionByName(tops.withColumn("common", F.lit(False)))
 
 
 def _with_parent_inside(members: DataFrame, up: DataFrame) -> DataFrame:
@@ -86,25 +86,26 @@ def _with_parent_inside(members: DataFrame, up: DataFrame) -> DataFrame:
     return links.join(inside, ["cluster", "parent"], "left_semi").select("cluster", "node")
 
 
-def _root_labels(roots: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
-    """Root names of each cluster joined by `:`; only their number where there are more than `limit`."""
-    names = terms.select(F.col("id").alias("root"), F.col("name").alias("_name"))
-    sizes = roots.groupBy("cluster").agg(F.count_distinct("root").alias("_n"))
-    few = roots.join(sizes.where(F.col("_n") <= limit), "cluster", "left_semi").join(names, "root", "left")
-    joined = few.groupBy("cluster").agg(
-        F.array_join(F.sort_array(F.collect_set(F.coalesce("_name", F.col("root").cast("string")))), ":").alias("_joined"))
-    return sizes.join(joined, "cluster", "left").select(
-        "cluster", F.coalesce("_joined", F.concat(F.col("_n").cast("string"), F.lit(" roots"))).alias("cluster_root_labels"))
+def root_names(roots: DataFrame, terms: DataFrame) -> DataFrame:
+    """`(cluster, root, common, name)`: every root of every cluster, however many, with its name."""
+    return roots.join(terms.select(F.col("id").alias("root"), "name"), "root", "left").select("cluster", "root", "common", "name")
 
 
-def cluster_report(membership: DataFrame, roots: DataFrame, terms: DataFrame, weights: DataFrame,
-                   label_limit: int = 100) -> DataFrame:
-    """One row per node: cluster, its root names, weight and a shortened definition.
+def _root_labels(roots: DataFrame, terms: DataFrame) -> DataFrame:
+    """Names of the common ancestors of each cluster joined by `:`, null where it has none."""
+    name = F.coalesce("name", F.col("root").cast("string"))
+    return root_names(roots, terms).groupBy("cluster").agg(
+        F.collect_set(F.when(F.col("common"), name)).alias("_names")).select(
+        "cluster", F.coalesce(F.nullif(F.array_join(F.sort_array("_names"), ":"), F.lit("")), F.lit("No common root")).alias("cluster_root_labels"))
 
-    A cluster without a common ancestor may have any number of roots; beyond
-    `label_limit` the label gives their number, and `roots` has them all.
+
+def cluster_report(membership: DataFrame, roots: DataFrame, terms: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row per node: cluster, the names of its common ancestors, weight and a shortened definition.
+
+    A cluster without a common ancestor may have any number of roots, so they
+    have no joined label; `root_names` has them all, one per row.
     """
-    labels = _root_labels(roots, terms, label_limit)
+    labels = _root_labels(roots, terms)
     return (
         membership.join(terms.select(F.col("id").alias("node"), "name", "definition"), "node", "left")
         .join(weights.select("node", "weight"), "node", "left")
@@ -131,10 +132,10 @@ def cluster_summary(report: DataFrame) -> DataFrame:
 
 def broad_matches(edges: DataFrame, terms: DataFrame, broad: DataFrame) -> DataFrame:
     """`(term, category)`: the broad categories among a term's ancestors and itself."""
-    reach = with_self(closure(edges, terms), terms)
     wanted = broad.select(F.col(broad.columns[0]).alias("category")).distinct()
-    return reach.select(F.col("src").alias("term"), F.col("dst").alias("category")).join(
-        wanted, "category", "left_semi").select("term", "category")
+    ids = terms.select(F.col(terms.columns[0]).alias("term")).distinct()
+    below = with_self(closure(reverse(edges), wanted), wanted)  # from the few broad terms down
+    return below.select(F.col("dst").alias("term"), F.col("src").alias("category")).join(ids, "term", "left_semi")
 
 
 def category_frequency(matches: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from ..session import materialize
 # Ranges used to find quantiles: at least and at most so many, with about so many rows each.
 MIN_CUTS, MAX_CUTS, ROWS_PER_CUT = 16, 2000, 250_000
 SAMPLE_PER_CUT = 50
+# Rows of a range within which a window runs.
+ROWS_PER_RANGE = 500_000
 
 
 def running_weight(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
@@ -28,7 +30,7 @@ def running_weight(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     """
     by, order = list(by), list(order)
     amount = F.col(weight) if weight else F.lit(1).cast("long")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_RANGE))
     rows = materialize(
         df.repartitionByRange(parts, *order)
         .withColumn("_range", F.spark_partition_id())

@@ -89,16 +89,16 @@ def complete_datasets(files: DataFrame, required: DataFrame) -> DataFrame:
     return _file_gaps(files, required).where(F.size("missing") == 0).select("accession", "feature")
 
 
-def result_table(pairs: DataFrame, complete_ids: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+def result_table(pairs: DataFrame, complete_ids: DataFrame, names: Sequence[str]) -> DataFrame:
     """Key/value rows of many samples as one clean row per sample and feature.
 
     The feature's own name inside a category becomes `feature`; only samples in
     `complete_ids` are kept; names are lower case with `_`; values are numbers.
+    `names` are the categories that become columns, after that replacement.
     """
     pattern = " (?:" + "|".join(sorted(FEATURE_NAMES, key=len, reverse=True)) + ") "
     recoded = keep_in(pairs, complete_ids, "accession").withColumn("category", F.regexp_replace("category", pattern, " feature "))
-    names = names or sorted(r[0] for r in recoded.select("category").distinct().collect())
-    wide = to_wide(recoded, ["accession", "feature"], "category", "value", names).withColumnRenamed("accession", "sample")
+    wide = to_wide(recoded, ["accession", "feature"], "category", "value", list(names)).withColumnRenamed("accession", "sample")
     tidy = snake_columns(wide)
     return clean_counts(tidy, ["sample", "feature"], [c for c in COUNT_COLUMNS if c in tidy.columns])
 

@@ -15,9 +15,6 @@ from ..operators.ranked import group_quantiles, running_weight
 
 KINDS = {"tool": "tool_name", "model": "model_name"}
 
-# Traces up to this many runs also get their names as one array.
-SEQUENCE_LIMIT = 10_000
-
 
 def flatten_runs(runs: DataFrame, kind: str = "tool") -> DataFrame:
     """Nested run records as flat rows: times, status, key lists, sizes, summaries, usage."""
@@ -78,17 +75,6 @@ def name_sequence(flat: DataFrame, kind: str = "tool") -> DataFrame:
     return ranked.select("trace_id", (F.col("_before") + 1).alias("position"), "name", F.col("_total").alias("length"))
 
 
-def short_sequences(sequence: DataFrame, limit: int = SEQUENCE_LIMIT) -> DataFrame:
-    """The names of each trace as one array, for traces of at most `limit` runs.
-
-    Longer traces have null here and keep their rows in `name_sequence`.
-    """
-    short = F.col("length") <= limit
-    listed = F.sort_array(F.collect_list(F.when(short, F.struct("position", "name"))))
-    return sequence.groupBy("trace_id").agg(F.max("length").alias("length"), listed.alias("_listed")).select(
-        "trace_id", "length", F.when(short, F.transform("_listed", lambda s: s["name"])).alias("sequence"))
-
-
 def workflow_summary(flat: DataFrame, kind: str = "tool") -> DataFrame:
     """One row per trace: counts, durations, errors, first and last run.
 

@@ -12,7 +12,7 @@ from ..operators.ontology import category_frequency
 from ..operators.ranked import group_median
 from ..plans import forecast, runlog, trends
 from ..session import materialize
-from .registry import DATASETS, RUNS, datasets, query, rounded, run_records, table
+from .registry import DATASETS, RUNS, datasets, positioned, query, rounded, run_records, table
 
 
 @query("a1_group_sum", f"""
@@ -234,11 +234,19 @@ def a20b(spark, sf):
 
 
 @query("a20_short_sequences", f"""
-WITH {RUNS} SELECT CAST(trace_id AS VARCHAR) AS trace_id, CAST(count(*) AS BIGINT) AS length,
-  CASE WHEN count(*) <= 60 THEN string_agg(tool_name, '>' ORDER BY start_time, CAST(run_id AS VARCHAR)) END AS sequence FROM runs GROUP BY 1""")
+WITH {RUNS} SELECT CAST(trace_id AS VARCHAR) AS trace_id, CAST(count(*) OVER (PARTITION BY trace_id) AS BIGINT) AS length, tool_name AS name,
+  CAST(row_number() OVER (PARTITION BY trace_id ORDER BY start_time, CAST(run_id AS VARCHAR)) AS BIGINT) AS position FROM runs""")
 def a20c(spark, sf):
-    found = runlog.short_sequences(runlog.name_sequence(_flat(spark, sf)), limit=60)
-    return found.withColumn("sequence", F.array_join("sequence", ">"))
+    return runlog.name_sequence(_flat(spark, sf))
+
+
+@query("a20_model_workflow", f"""
+WITH {RUNS} SELECT CAST(trace_id AS VARCHAR) AS trace_id, CAST(count(*) AS BIGINT) AS run_count, CAST(count(DISTINCT tool_name) AS BIGINT) AS unique_names,
+  arg_min(tool_name, (start_time, CAST(run_id AS VARCHAR))) AS first_name, arg_max(tool_name, (start_time, CAST(run_id AS VARCHAR))) AS last_name,
+  CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(total_cost), 4) AS total_cost FROM runs GROUP BY 1""")
+def a20e(spark, sf):
+    out = runlog.workflow_summary(_flat(spark, sf, "model"), "model")
+    return rounded(out.select("trace_id", "run_count", "unique_names", "first_name", "last_name", "total_tokens", "total_cost"))
 
 
 @query("a20_workflow_overview", f"""
@@ -251,10 +259,11 @@ def a20d(spark, sf):
 @query("a21_run_stats", f"""
 WITH {RUNS} SELECT tool_name AS name, CAST(count(*) AS BIGINT) AS call_count, CAST(count(*) FILTER (WHERE has_error) AS BIGINT) AS error_count,
   round(avg(CAST(has_error AS INTEGER)), 4) AS error_rate, round(avg(duration_seconds), 4) AS avg_duration, min(duration_seconds) AS min_duration,
-  max(duration_seconds) AS max_duration, round(stddev_samp(duration_seconds), 4) AS std_duration, round(median(duration_seconds), 4) AS median_duration
+  max(duration_seconds) AS max_duration, round(stddev_samp(duration_seconds), 4) AS std_duration, round(median(duration_seconds), 4) AS median_duration,
+  CAST(row_number() OVER (ORDER BY count(*) DESC, tool_name) AS BIGINT) AS position
 FROM runs GROUP BY 1""")
 def a21(spark, sf):
-    return rounded(runlog.run_stats(_flat(spark, sf)))
+    return rounded(positioned(runlog.run_stats(_flat(spark, sf))))
 
 
 @query("a21_model_stats", f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import FINE_CELL_RULES
 from ..operators import graph as G, ontology as O
 from ..session import materialize
-from .registry import CLOSURE, EDGES, ontology_edges, query, rounded, table
+from .registry import CLOSURE, EDGES, ontology_edges, positioned, query, rounded, table
 
 
 @query("g1_edges", f"WITH {EDGES} SELECT child, parent FROM e")
@@ -102,12 +102,12 @@ cv AS (SELECT cluster, dst AS root, count(*) AS k FROM mb JOIN cs ON node = src
 cm AS (SELECT cv.cluster, root FROM cv JOIN sz ON cv.cluster = sz.cluster AND k = n WHERE n > 1 OR EXISTS (SELECT 1 FROM mb WHERE mb.cluster = cv.cluster AND node = root)),
 hi AS (SELECT x.cluster, y.root FROM cm x JOIN c ON src = x.root JOIN cm y ON y.cluster = x.cluster AND y.root = dst),
 lw AS (SELECT cluster, root, row_number() OVER (PARTITION BY cluster ORDER BY root) AS rn FROM cm ANTI JOIN hi USING (cluster, root)),
-rt AS (SELECT cluster, root FROM lw WHERE rn <= 3 UNION ALL
-  SELECT mb.cluster, node FROM mb WHERE mb.cluster NOT IN (SELECT cluster FROM cm) AND NOT EXISTS (
+rt AS (SELECT cluster, root, TRUE AS common FROM lw WHERE rn <= 3 UNION ALL
+  SELECT mb.cluster, node, FALSE FROM mb WHERE mb.cluster NOT IN (SELECT cluster FROM cm) AND NOT EXISTS (
     SELECT 1 FROM e JOIN mb m2 ON m2.node = e.parent WHERE e.child = mb.node AND m2.cluster = mb.cluster))"""
 
 
-@query("g8_cluster_roots", f"WITH RECURSIVE {EDGES}, {CLOSURE}, {ROOTS} SELECT cluster, root FROM rt")
+@query("g8_cluster_roots", f"WITH RECURSIVE {EDGES}, {CLOSURE}, {ROOTS} SELECT cluster, root, common FROM rt")
 def g8(spark, sf):
     return O.common_roots(ontology_edges(spark, sf), _membership(spark, sf))
 
@@ -119,8 +119,8 @@ def _terms(spark, sf):
 
 
 REPORT = """tm AS (SELECT p_partkey AS id, p_name || ' ' || p_partkey AS name, repeat(p_name || ' ', 10) AS definition FROM part),
-rl AS (SELECT cluster, string_agg(name, ':' ORDER BY name) AS labels FROM (SELECT DISTINCT cluster, name FROM rt JOIN tm ON root = id) GROUP BY 1),
-rp AS (SELECT node AS node_id, name AS node_name, mb.cluster AS cluster_id, coalesce(labels, 'No root found') AS cluster_root_labels, weight AS abundance,
+rl AS (SELECT cluster, string_agg(name, ':' ORDER BY name) AS labels FROM (SELECT DISTINCT cluster, name FROM rt JOIN tm ON root = id WHERE common) GROUP BY 1),
+rp AS (SELECT node AS node_id, name AS node_name, mb.cluster AS cluster_id, coalesce(labels, CASE WHEN mb.cluster IN (SELECT cluster FROM rt) THEN 'No common root' ELSE 'No root found' END) AS cluster_root_labels, weight AS abundance,
   CASE WHEN length(definition) > 100 THEN substring(definition, 1, 100) || '...' ELSE definition END AS definition
   FROM mb JOIN tm ON node = id JOIN nw USING (node) LEFT JOIN rl ON rl.cluster = mb.cluster)"""
 
@@ -131,9 +131,16 @@ def _report(spark, sf):
     return O.cluster_report(members, roots, _terms(spark, sf), _weights(spark, sf))
 
 
-@query("g9_cluster_report", f"WITH RECURSIVE {EDGES}, {CLOSURE}, {ROOTS}, {WEIGHTS}, {REPORT} SELECT * FROM rp")
+@query("g9_cluster_report", f"""
+WITH RECURSIVE {EDGES}, {CLOSURE}, {ROOTS}, {WEIGHTS}, {REPORT}
+SELECT *, CAST(row_number() OVER (ORDER BY cluster_id, abundance DESC, node_id) AS BIGINT) AS position FROM rp""")
 def g9(spark, sf):
-    return _report(spark, sf).orderBy("cluster_id", F.desc("abundance"))
+    return positioned(_report(spark, sf).orderBy("cluster_id", F.desc("abundance"), "node_id"))
+
+
+@query("g9_root_names", f"WITH RECURSIVE {EDGES}, {CLOSURE}, {ROOTS} SELECT cluster, root, common, p_name || ' ' || p_partkey AS name FROM rt LEFT JOIN part ON root = p_partkey")
+def g9c(spark, sf):
+    return O.root_names(O.common_roots(ontology_edges(spark, sf), _membership(spark, sf)), _terms(spark, sf))
 
 
 @query("g9_cluster_summary", f"""

@@ -164,6 +164,10 @@ def c6b(spark, sf):
     return catalogues.complete_datasets(_manifest(spark, sf), catalogues.required_files(spark))
 
 
+#: Categories of the summary files that `summary_files` writes.
+SUMMARY_NAMES = ("Number of Reads", "Reads Mapped to feature Unique", "Saturation", "UMIs in Cells")
+
+
 @query("c7_result_table", f"""
 WITH {SUMMARIES} SELECT accession AS sample, feature, CAST(reads AS BIGINT) AS number_of_reads, CAST(CAST(umis AS BIGINT) AS BIGINT) AS umis_in_cells,
   CAST(printf('%.2f', peak) AS DOUBLE) AS reads_mapped_to_feature_unique, CASE WHEN reads % 2 = 0 THEN NULL ELSE 0.25::DOUBLE END AS saturation
@@ -171,7 +175,7 @@ FROM sm WHERE accession IN (SELECT 'SRX' || split_part(p_brand, '#', 2) FROM par
 def c7(spark, sf):
     pairs = read_key_values(spark, summary_files(spark, sf), "SRX", "*.csv")
     ready = table(spark, sf, "part").where("p_size = 50").select(F.concat(F.lit("SRX"), F.split("p_brand", "#")[1]).alias("accession"))
-    return catalogues.result_table(pairs, ready)
+    return catalogues.result_table(pairs, ready, SUMMARY_NAMES)
 
 
 @query("c8_gap_report", """

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.ranked import row_numbers
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -33,6 +35,11 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select([F.round(n, digits).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
 
 
+def positioned(df: DataFrame) -> DataFrame:
+    """Adds `position`, the place of each row in the order that `df` has, so that the order is compared too."""
+    return row_numbers(df.withColumn("_at", F.monotonically_increasing_id()), ["_at"], "position").drop("_at")
+
+
 def datasets(spark: SparkSession, sf: str) -> DataFrame:
     """Catalogue entries: accession, release date, technology, organism, tissue, cells, status."""
     return (

@@ -9,7 +9,7 @@ from ..operators.merge import update, upsert
 from ..plans import runlog
 from ..session import scratch_path
 from ..sources import files, sinks
-from .registry import COUNTS, RUNS, counts_long, datasets, query, rounded, run_records, table
+from .registry import COUNTS, RUNS, counts_long, datasets, positioned, query, rounded, run_records, table
 
 ORDER_SCHEMA = "o_orderkey bigint, o_orderpriority string, o_totalprice double"
 ORDER_SQL = "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders"
@@ -191,14 +191,15 @@ def s14(spark, sf):
 
 
 @query("s15_run_table", """
-SELECT CASE WHEN p_type = 'PROMO' THEN 'No title available' ELSE p_name || ', lane' END AS name, p_brand AS experiment, p_partkey AS run FROM part""")
+SELECT *, CAST(row_number() OVER (ORDER BY name, experiment, run) AS BIGINT) AS position FROM (
+  SELECT CASE WHEN p_type = 'PROMO' THEN 'No title available' ELSE p_name || ', lane' END AS name, p_brand AS experiment, p_partkey AS run FROM part)""")
 def s15(spark, sf):
     path = scratch_path(spark, "runinfo")
     rows = table(spark, sf, "part").select(
         F.col("p_partkey").alias("Run"), F.col("p_brand").alias("Experiment"),
         F.when(F.col("p_type") != "PROMO", F.concat("p_name", F.lit(", lane"))).alias("LibraryName"))
     sinks.write_delimited(rows, path)
-    return files.run_table(files.read_delimited(spark, path, "Run bigint, Experiment string, LibraryName string"))
+    return positioned(files.run_table(files.read_delimited(spark, path, "Run bigint, Experiment string, LibraryName string")))
 
 
 @query("k1_write_delimited", "SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer")

@@ -9,7 +9,7 @@ from ..operators.aggregate import group_sum, share_within
 from ..operators.joins import flag_repeats, spread_first
 from ..plans.trends import summed_by_period
 from ..session import materialize
-from .registry import DATASETS, datasets, query, rounded, table
+from .registry import DATASETS, datasets, positioned, query, rounded, table
 
 
 @query("w1_running_total", f"""
@@ -86,9 +86,10 @@ def w9(spark, sf):
 
 
 @query("o1_mixed_sort", """
-SELECT s_nationkey, s_suppkey, s_acctbal FROM supplier ORDER BY s_nationkey, s_acctbal DESC""")
+SELECT s_nationkey, s_suppkey, s_acctbal, CAST(row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS BIGINT) AS position FROM supplier""")
 def o1(spark, sf):
-    return table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal").orderBy("s_nationkey", F.desc("s_acctbal"))
+    rows = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    return positioned(rows.orderBy("s_nationkey", F.desc("s_acctbal"), "s_suppkey"))
 
 
 @query("o2_top_categories", f"""

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
-# folders made for local sessions without a setting, by application id
-_own_folders: dict[str, str] = {}
+# folders made for local sessions without a setting, by application id; they go when the process ends
+_own_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -48,8 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="tallyfold-")
-    return _own_folders[app]
+        _own_folders[app] = tempfile.TemporaryDirectory(prefix="tallyfold-", ignore_cleanup_errors=True)
+    return _own_folders[app].name
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

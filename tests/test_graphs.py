@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.operators import graph as G, ontology as O
+from tallyfold.queries.registry import positioned
 
 
 def edge_frame(spark, pairs):
@@ -104,7 +105,7 @@ def test_weights(spark, rows):
 
 
 def roots(spark, rows, pairs, members, **kw):
-    return rows(O.common_roots(edge_frame(spark, pairs), spark.createDataFrame(members, "cluster int, node string"), **kw))
+    return rows(O.common_roots(edge_frame(spark, pairs), spark.createDataFrame(members, "cluster int, node string"), **kw), "cluster", "root")
 
 
 def test_lowest_common_root(spark, rows):
@@ -147,3 +148,20 @@ def test_categories(spark, rows):
 def test_distance_of_unrelated_terms_is_null(spark, rows):
     df = spark.createDataFrame([(1, "a", "d"), (2, "d", "a"), (3, "b", "c"), (4, "b", "b")], "id int, x string, y string")
     assert rows(O.term_distance(df, "x", "y", edge_frame(spark, DIAMOND)), "id", "distance") == [(1, 2), (2, 2), (3, None), (4, 0)]
+
+
+def test_roots_without_a_common_ancestor_stay_rows(spark, rows):
+    members = spark.createDataFrame([(1, "s"), (1, "t"), (2, "u")], "cluster int, node string")
+    terms = spark.createDataFrame([("s", "S", "d"), ("t", "T", "d"), ("u", "U", "d")], "id string, name string, definition string")
+    weights = spark.createDataFrame([("s", 2.0)], "node string, weight double")
+    found = O.common_roots(edge_frame(spark, [("s", "p"), ("t", "q"), ("u", "p")]), members)
+    assert rows(O.root_names(found, terms)) == [(1, "s", False, "S"), (1, "t", False, "T"), (2, "u", True, "U")]
+    report = O.cluster_report(members, found, terms, weights)
+    assert rows(report, "node_id", "cluster_root_labels", "abundance") == [
+        ("s", "No common root", 2.0), ("t", "No common root", 1.0), ("u", "U", 1.0)]
+
+
+def test_positions_follow_the_order(spark):
+    shuffled = spark.range(100).repartition(7)
+    assert all(r.position == 100 - r.id for r in positioned(shuffled.orderBy("id", ascending=False)).collect())
+    assert any(r.position != 100 - r.id for r in positioned(shuffled).collect())
