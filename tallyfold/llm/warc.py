@@ -21,6 +21,9 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LINE, RECORD_END = "\r\n", "\r\n\r\n"
 
+#: About so many payload bytes go to an archive file, since a task reads one whole; a record has about HEADER_BYTES more.
+FILE_BYTES, HEADER_BYTES = 64 << 20, 1 << 10
+
 RECORD = StructType([
     StructField("record_id", StringType()), StructField("record_type", StringType()), StructField("page_id", StringType()),
     StructField("target_uri", StringType()), StructField("payload_digest", StringType()),
@@ -62,7 +65,7 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                  min_bytes: int = 0, date: str | None = None, per_file: int = 20_000) -> None:
+                  min_bytes: int = 0, date: str | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Write a record per row below `path`, gzipped, with payloads that occur more than once stored once.
 
     The headers are made first and written to a scratch table, so each row has
@@ -71,7 +74,8 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     and after the only shuffle in which they take part, and join the responses.
     A null payload is empty, a null url or id leaves out its header line, and
     repeated rows are records of their own. `date` is the WARC-Date (now, if
-    not given). Other columns are not read.
+    not given). A file takes as many records as hold `file_bytes` on average.
+    Other columns are not read.
     """
     stamp = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
@@ -80,6 +84,8 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     headers = materialize(pages.select(
         "page_id", "target_uri", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.monotonically_increasing_id().alias("record_id")), "headers")
+    mean = headers.agg(F.coalesce(F.avg("payload_bytes"), F.lit(0.0))).first()[0]
+    per_file = max(1, int(file_bytes / (mean + HEADER_BYTES)))
     payloads = pages.groupBy("payload_digest").agg(F.first("payload").alias("payload"))
     is_response = F.col("original") == F.col("record_id")
     records = resolve_revisits(headers, min_bytes).select("*", is_response.alias("response")).join(

@@ -61,6 +61,13 @@ def test_cut_archives_are_refused(spark, pages, tmp_path):
         list(records_in(gzip.compress(whole[:-9])))
 
 
+def test_files_follow_the_bytes(spark, pages, tmp_path):
+    path = tmp_path / "archive"
+    write_archive(pages.coalesce(1), str(path), file_bytes=2_000)
+    assert len(list(path.glob("*.gz"))) == len(ROWS)  # every file takes one record, whatever its size
+    assert read_archive(spark, str(path)).count() == len(ROWS)
+
+
 def test_empty(spark, pages, tmp_path):
     write_archive(pages.limit(0), str(tmp_path / "archive"))
     assert read_archive(spark, str(tmp_path / "archive")).count() == 0
