@@ -24,7 +24,7 @@ BLOCKS = 8
 #: Bytes of item text that are sent to the tasks at once; a larger benchmark takes several passes over the documents.
 MAX_ITEM_BYTES = 16 << 20
 #: Hashes of words that a worker remembers, and windows that are looked at in one go.
-REMEMBERED, AT_ONCE = 200_000, 2048
+REMEMBERED, AT_ONCE = 50_000, 2048
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 

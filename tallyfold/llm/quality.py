@@ -27,7 +27,7 @@ UNIT = 2.0 ** 36
 #: What may stand at the end of a word.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 #: Hashes of words that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 
 @dataclass(frozen=True)
