@@ -105,6 +105,18 @@ def test_recall_does_not_fall_with_the_table(spark, n):
     assert len(got) == 5 * n and len(true & set(zip(got.id, got.neighbour))) / len(true) > 0.9
 
 
+@pytest.mark.parametrize("cell_rows", [50, 25])
+def test_recall_on_given_embeddings_in_many_cells(spark, sf, cell_rows):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    pdf = rows.toPandas().sort_values("vec_id", ignore_index=True)
+    got = E.neighbours(rows, "vec_id", "embedding", 5, cell_rows=cell_rows, probes=2).toPandas()
+    near = exact(np.stack(pdf.embedding).astype(float), 5)[0]
+    true = {(pdf.vec_id[i], pdf.vec_id[j]) for i, r in enumerate(near) for j in r}
+    found = len(true & set(zip(got.id, got.neighbour))) / len(true)
+    print("recall", cell_rows, found)
+    assert found >= 0.9
+
+
 def test_neighbours_of_copies_and_nulls(spark):
     copies = spark.range(120).select("id", F.when(F.col("id") < 110, F.array(*[F.lit(1.0)] * 8)).alias("v"))
     same = E.neighbours(copies, "id", "v", 3, cell_rows=20, probes=1, block=16).toPandas()
