@@ -50,6 +50,13 @@ def crc_of(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def whole_parts(column: str, scale: float) -> tuple[Column, Column]:
+    """Whether a vector is there with all its components finite, and its components as `floor(scale * x)`."""
+    v = F.col(column)
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    return v.isNotNull() & ~odd, F.transform(v, lambda x: F.floor(x.cast("double") * scale))
+
+
 def fields(df: DataFrame, *columns: str) -> list[StructField]:
     """The named columns of `df` as fields that may be null."""
     return [StructField(c, df.schema[c].dataType, True) for c in columns]

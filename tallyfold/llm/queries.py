@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
-from . import chat, decontaminate, packing, placement, quality, simhash, suffix_tree, topk, url_rules, warc
+from . import centroids, chat, decontaminate, merkle, packing, placement, quality, simhash, suffix_tree, topk, url_rules, warc
 from .common import crc_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,15 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_top_products")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_products(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op12_centroid_clusters", centroids.cluster_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf, "embeddings"))
+
+
+@query("op13_merkle_manifest", merkle.MANIFEST_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(table(spark, sf, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered=tampered,
+                           changes={"n_chars": F.try_add(F.col("n_chars"), F.lit(1))})
