@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
-from . import centroids, chat, decontaminate, merkle, packing, placement, quality, simhash, suffix_tree, topk, url_rules, warc
+from . import centroids, chat, decontaminate, merkle, packing, pii, placement, quality, simhash, suffix_tree, topk, url_rules, warc
 from .common import crc_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,12 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_products(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
 
 
+@query("op11_personal_data")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 @query("op12_centroid_clusters", centroids.cluster_sql())
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return centroids.cluster(table(spark, sf, "embeddings"))
