@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
 
@@ -57,6 +57,13 @@ def whole_parts(column: str, scale: float) -> tuple[Column, Column]:
     return v.isNotNull() & ~odd, F.transform(v, lambda x: F.floor(x.cast("double") * scale))
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of `most` bytes, where the session leaves the limit at its default; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(most))
+
+
 def fields(df: DataFrame, *columns: str) -> list[StructField]:
     """The named columns of `df` as fields that may be null."""
     return [StructField(c, df.schema[c].dataType, True) for c in columns]

@@ -8,19 +8,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from ..session import materialize
 from .common import Spans, arrow_schema, as_bytes, batches, fields, spans_of, words_of
 
 #: Words in a shingle, and the similarity from which a window counts as a copy of an item.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints that differ in more bits are not verified. Windows of similarity 0.8 differ in about 10 of 64 bits, with a
-#: standard deviation below 3, so hardly one in a hundred thousand lies beyond; more similar ones lie closer.
-RADIUS = 23
-#: Fingerprints are cut into blocks of eight bits. Within RADIUS bits one block at least differs in RADIUS // 8 bits or fewer.
-BLOCKS = 8
+#: Fingerprints have 128 bits in blocks of 16, and a block finds the items that differ in BALL of its bits or fewer: one
+#: pair of unrelated fingerprints in 59. Two fingerprints that differ in RADIUS bits or fewer always meet so. Windows of
+#: similarity 0.8 differ in about 19 bits, 2.4 of a block, and one in 750 of them meets in no block.
+BLOCKS, BALL = 8, 2
+RADIUS = BLOCKS * (BALL + 1) - 1
+_BALL_MASKS = np.array([m for m in range(1 << 16) if m.bit_count() <= BALL], np.uint16)
 #: Bytes of item text that are sent to the tasks at once; a larger benchmark takes several passes over the documents.
 MAX_ITEM_BYTES = 16 << 20
 #: Hashes of words that a worker remembers, and windows that are looked at in one go.
@@ -64,9 +68,14 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 
 
 def window_fingerprints(hashes: np.ndarray, shingles: int) -> np.ndarray:
-    """Fingerprints, as eight bytes, of all runs of `shingles` shingles: a bit is 1 if more than half of them have it."""
-    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(hashes), axis=0, dtype=np.int32)])
-    return np.packbits((sums[shingles:] - sums[:-shingles]) * 2 > shingles, axis=1, bitorder="little")
+    """Fingerprints, as blocks of 16 bits, of all runs of `shingles` shingles: a bit is 1 if more than half of them have it.
+
+    The second half of the bits comes from another hash of the same shingles.
+    """
+    other = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    bits = np.concatenate([_bits(hashes), _bits(other ^ (other >> np.uint64(35)))], axis=1)
+    sums = np.concatenate([np.zeros((1, 16 * BLOCKS), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+    return np.packbits((sums[shingles:] - sums[:-shingles]) * 2 > shingles, axis=1, bitorder="little").view("<u2")
 
 
 @dataclass
@@ -91,40 +100,47 @@ class Item:
 class SizeTable:
     """Items of one number of words, with their fingerprints in a table per block.
 
-    `near[b, v]` marks the items whose block b differs from v in few enough
-    bits: the small Hamming balls are laid out when the table is made, so a
-    window looks up one place per block.
+    The table of a block lists, for each of its values, the items whose block
+    lies in the small Hamming ball around it: `items_at[first[b, v]:first[b, v + 1]]`.
+    A window looks up one place per block.
     """
 
-    def __init__(self, items: list[Item], radius: int):
-        self.items, self.radius = items, radius
+    def __init__(self, items: list[Item]):
+        self.items = items
         self.words, self.shingle = len(items[0].words), items[0].shingle
         self.shingles = self.words - self.shingle + 1
         self.prints = np.concatenate([window_fingerprints(i.hashes, self.shingles) for i in items])
-        values = np.arange(256, dtype=np.uint8)
-        ball = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius // BLOCKS
-        self.near = np.stack([ball[:, self.prints[:, b]] for b in range(BLOCKS)])
+        self.first, self.items_at = [], []
+        for b in range(BLOCKS):
+            values = (self.prints[:, b, None] ^ _BALL_MASKS[None]).ravel()
+            order = np.argsort(values, kind="stable")
+            self.first.append(np.searchsorted(values[order], np.arange((1 << 16) + 1)).astype(np.int32))
+            self.items_at.append((order // len(_BALL_MASKS)).astype(np.int32))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows, items and distances of all pairs within the radius, by distance, then by window."""
-        found = np.zeros((len(prints), len(self.items)), bool)
+        """Windows, items and distances of all pairs that meet in a block, by distance, then by window."""
+        pairs = []
         for b in range(BLOCKS):
-            found |= self.near[b, prints[:, b]]
-        window, item = np.nonzero(found)
+            value = prints[:, b].astype(np.int64)
+            first = self.first[b][value]
+            n = self.first[b][value + 1] - first
+            window = np.repeat(np.arange(len(prints)), n)
+            within = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
+            pairs.append(window * len(self.items) + self.items_at[b][np.repeat(first, n) + within])
+        window, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
         distance = np.bitwise_count(prints[window] ^ self.prints[item]).sum(axis=1, dtype=np.int64)
         order = np.lexsort((window, distance))
-        order = order[distance[order] <= self.radius]
         return window[order], item[order], distance[order]
 
 
 class Index:
     """Items by size, and the shingles that any of them has."""
 
-    def __init__(self, items: list[Item], radius: int):
+    def __init__(self, items: list[Item]):
         by_words: dict[int, list[Item]] = {}
         for item in items:
             by_words.setdefault(len(item.words), []).append(item)
-        self.tables = {n: SizeTable(group, radius) for n, group in by_words.items()}
+        self.tables = {n: SizeTable(group) for n, group in by_words.items()}
         self.shingles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in sorted({i.shingle for i in items}):
             pairs = np.unique(np.array([(h, len(i.words)) for i in items if i.shingle == size for h in i.hashes.tolist()], np.uint64), axis=0)
@@ -198,44 +214,69 @@ def _window(spans: Spans, first: int, end: int, size: int) -> list[bytes]:
     return Spans(spans.joined[a:int(spans.ends[end - 1])], spans.starts[first:end] - a, spans.ends[first:end] - a).shingles(size)
 
 
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, shingle: int, max_item_bytes: int) -> list[Broadcast]:
+    """Broadcast indexes over the items, each over `max_item_bytes` of text, about."""
+    items = benchmark.select(F.col(item_col), as_bytes(text_col).alias("_text")).where(F.length("_text") > 0)
+    size = items.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]
+    parts, found = max(1, math.ceil(size / max_item_bytes)), []
+    for part in range(parts):
+        chosen = items.where(F.pmod(F.xxhash64("_text"), F.lit(parts)) == part).collect()
+        index = Index([i for r in chosen if (i := Item.of(r[0], bytes(r[1]), shingle))])
+        found.append(benchmark.sparkSession.sparkContext.broadcast(index))
+    return found
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, threshold: float = SIMILARITY,
-                 radius: int = RADIUS, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+                 max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """`(id, item, word_start, words, distance, similarity)`: the best window of each document for each item that it holds.
 
     A window has as many words as the item (all words, where the document has
     fewer). Windows are formed wherever a document has a shingle of an item of
-    their size; their fingerprints find the items within `radius` bits, and the
-    similarity of the shingles, with their counts, decides. Ties go to the first
+    their size; their fingerprints find the items that come close in a block, and
+    the similarity of the shingles, with their counts, decides. Ties go to the first
     window. Items shorter than a shingle are matched as a whole.
 
     The items are an index in every task, and documents are read where they
     lie, whole and without a shuffle. A benchmark of more than `max_item_bytes`
-    is taken in parts, each with a pass of its own. Null and empty texts hold
-    nothing and are held by nothing; repeated rows and rows with null ids are
-    compared like any other; other columns are not read.
+    is taken in parts, each with a pass of its own. Null and empty texts hold nothing and are
+    held by nothing; repeated rows and rows with null ids are compared like any
+    other; an empty table holds nothing; other columns are not read.
     """
-    items = benchmark.select(F.col(item_col), as_bytes(item_text_col).alias("_text")).where(F.length("_text") > 0)
-    size = items.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]
-    parts = max(1, math.ceil(size / max_item_bytes))
     item_field = StructField(item_col if item_col != id_col else f"item_{item_col}", benchmark.schema[item_col].dataType)
     schema = StructType([*fields(docs, id_col), item_field, StructField("word_start", LongType()), StructField("words", LongType()),
                          StructField("distance", IntegerType()), StructField("similarity", DoubleType())])
     out, texts = arrow_schema(schema), docs.select(id_col, as_bytes(text_col).alias("_text"))
-    found = []
-    for part in range(parts):
-        chosen = items.where(F.pmod(F.xxhash64("_text"), F.lit(parts)) == part).collect()
-        index = Index([i for r in chosen if (i := Item.of(r[0], bytes(r[1]), shingle))], radius)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    result = None
+    for index in _indexes(benchmark, item_col, item_text_col, shingle, max_item_bytes):
 
-        def rows(source, shared=shared) -> Iterator[tuple]:
+        def rows(source, index=index) -> Iterator[tuple]:
             for batch in source:
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    for match in matches(text.as_py(), shared.value, threshold):
+                    for match in matches(text.as_py(), index.value, threshold):
                         yield key, *match
 
-        found.append(texts.mapInArrow(lambda s, rows=rows: batches(out, rows(s)), schema))
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
+        found = texts.mapInArrow(lambda s, rows=rows: batches(out, rows(s)), schema)
+        result = found if result is None else result.unionByName(found)
     return result
+
+
+def _holds(index: Broadcast, threshold: float):
+    @F.arrow_udf(BooleanType())
+    def holds(texts: pa.Array) -> pa.Array:
+        return pa.array([next(matches(t.as_py(), index.value, threshold), None) is not None for t in texts], pa.bool_())
+
+    return holds
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                     item_text_col: str = "text", shingle: int = SHINGLE, threshold: float = SIMILARITY,
+                     max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """The rows of `docs` that hold no passage of an item, with all their columns; see `contaminated`.
+
+    Each row is judged by its own text, whatever its id, and nothing is
+    shuffled. Between the parts of a large benchmark the rows left are written.
+    """
+    for at, index in enumerate(_indexes(benchmark, item_col, item_text_col, shingle, max_item_bytes)):
+        docs = (materialize(docs, "clean") if at else docs).where(~_holds(index, threshold)(as_bytes(text_col)))
+    return docs

@@ -188,17 +188,19 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
 
 def well_scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of `docs` that score `least` or more, with all their columns, whatever these are called."""
+    """The rows of `docs` that score `least` or more, with all their columns, whatever these are called.
+
+    Tasks see the texts alone; all other columns stay where they are.
+    """
     bits = int(len(weights)).bit_length() - 1
-    shared, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(source):
-        w = shared.value
-        for batch in source:
-            margins = []
-            for text in batch.column(at).cast(pa.binary()):
-                places, values = features(text.as_py(), bits)
-                margins.append(float(w[places] @ values))
-            yield batch.filter(pa.array([probability(m) >= least for m in margins], pa.bool_()))
+    @F.arrow_udf(DoubleType())
+    def scores(texts: pa.Array) -> pa.Array:
+        w, found = shared.value, []
+        for text in texts:
+            places, values = features(text.as_py(), bits)
+            found.append(probability(float(w[places] @ values)))
+        return pa.array(found, pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scores(as_bytes(text_col)) >= least)

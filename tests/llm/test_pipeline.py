@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyfold.llm import decontaminate, quality, simhash
+from tallyfold.llm import decontaminate, quality
+
+from test_near_dedup import plain_groups
 
 
 def test_stages(spark, sf, tmp_path):
@@ -24,9 +26,8 @@ def test_stages(spark, sf, tmp_path):
     _, _, ids, left = kept[0]
     assert sum(labels[k] == 1 for k in ids - left if k in labels) <= 2 and sum(labels[k] == 0 for k in left if k in labels) <= 2
     before, after, ids, left = kept[1]
-    groups = {r.doc_id: r.component_id for r in simhash.near_copies(before).collect()}
-    assert left == set(groups.values())
-    assert simhash.near_copies(after).where("doc_id <> component_id").count() == 0
+    groups, _ = plain_groups({r.doc_id: r.text for r in before.collect()})
+    assert left == set(groups.values()) and after.count() == len(left) < before.count()
     before, after, ids, left = kept[2]
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert decontaminate.contaminated(after, bench).count() == 0
@@ -40,10 +41,19 @@ def test_rows_of_all_kinds(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, docs, sf).columns == docs.columns
         assert stage(spark, docs.limit(0), sf).count() == 0
-    assert sorted(str(r.doc_id) for r in corpus_pipeline.one_of_each_group(spark, docs, sf).collect()) == ["1", "1", "2", "None"]
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.one_of_each_group(spark, docs, sf).collect()) == ["1", "2"]
     assert corpus_pipeline.packed(spark, docs, sf).select(F.sum(F.col("length"))).first()[0] > 0
 
 
+def test_no_contaminated_row_stays(spark, sf):
+    """Rows that share an id, or have none, are judged by their own texts."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(8, "a clean text"), (8, "so " + item), (None, item), (None, "clean without an id"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.without_benchmark(spark, docs, sf).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(8, "a clean text"), (None, "clean without an id"), (9, None)]))
+
+
 def test_run_is_its_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     assert quality.MAX_ROWS == 20_000
