@@ -16,20 +16,50 @@ def clean_edges(edges: DataFrame, child: str = "child", parent: str = "parent")
     )
 
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
-    """All `(src, dst, depth)` with a path from src to dst, `depth` the shortest.
+def closure(edges: DataFrame, seeds: DataFrame | None = None, max_rounds: int | None = None, few: bool = True) -> DataFrame:
+    """All `(src, dst, depth)` with a path from src to dst, `depth` the shortest; a node is not its own descendant.
 
-    One round per level: the pairs found last are extended by one edge and the
-    pairs known already are dropped, which also ends cycles. Every level is
-    written to a folder of its own, so the plan of a round is always the same
-    short one. A node is not its own descendant.
+    `seeds` leaves only paths that start there. Without seeds, or where they are
+    not `few` against all nodes, paths are doubled in length each round; from few
+    seeds they grow by one edge a round, so that nothing is found that does not
+    start at a seed. Paths longer than `max_rounds` edges are an error.
     """
-    spark = edges.sparkSession
     step = materialize(clean_edges(edges), "edges")
-    start = step.select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit(1).alias("depth"))
-    if seeds is not None:
-        ids = seeds.select(F.col(seeds.columns[0]).alias("src")).distinct()
-        start = start.join(ids, "src", "left_semi")
+    if seeds is None:
+        return _doubled(step, max_rounds)
+    ids = seeds.select(F.col(seeds.columns[0]).alias("src")).distinct()
+    return _by_level(step, ids, max_rounds) if few else _doubled(step, max_rounds).join(ids, "src", "left_semi")
+
+
+def _doubled(step: DataFrame, max_rounds: int | None) -> DataFrame:
+    """All shortest paths in about as many rounds as the longest has binary digits.
+
+    With all pairs up to a distance of k at hand, a pair between k and 2k apart
+    has a node on its way that is exactly k from the start, so only the pairs
+    exactly k apart are extended, each by all pairs that begin where it ends.
+    Every round is written to a folder of its own, which keeps its plan short.
+    """
+    spark, root = step.sparkSession, scratch_path(step.sparkSession, "closure")
+    pairs = step.select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit(1).alias("depth"))
+    longest, k = 1, 1
+    while True:
+        if max_rounds is not None and longest > max_rounds:
+            raise RuntimeError(f"paths longer than {max_rounds} edges")
+        if longest < k:
+            return pairs
+        ends = pairs.where(F.col("depth") == k).select("src", F.col("dst").alias("_via"))
+        onward = pairs.select(F.col("src").alias("_via"), "dst", (F.col("depth") + k).alias("depth"))
+        longer = ends.join(onward, "_via").where(F.col("src") != F.col("dst")).select("src", "dst", "depth")
+        nearest = pairs.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth"))
+        found = write_measured(nearest, f"{root}/{2 * k}", longest=F.max("depth"))
+        pairs = spark.read.schema(nearest.schema).parquet(f"{root}/{2 * k}")
+        longest, k = found["longest"] or 0, 2 * k
+
+
+def _by_level(step: DataFrame, ids: DataFrame, max_rounds: int | None) -> DataFrame:
+    """Shortest paths from the seeds: those found last are extended by one edge, and pairs known already are dropped."""
+    spark = step.sparkSession
+    start = step.select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit(1).alias("depth")).join(ids, "src", "left_semi")
     reader = spark.read.schema(start.schema)
     root = scratch_path(spark, "closure")
     paths = [f"{root}/level-1"]
@@ -74,7 +104,7 @@ def contract(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """
     clean = materialize(clean_edges(edges), "edges")
     ids = kept.select(F.col(kept.columns[0]).alias("dst")).distinct()
-    paths = closure(clean, ids).join(ids, "dst", "left_semi")
+    paths = closure(clean, ids, few=False).join(ids, "dst", "left_semi")
     return paths.select(
         F.col("src").alias("child"), F.col("dst").alias("parent"),
         F.when(F.col("depth") == 1, "is_a").otherwise("is_a_transitive").alias("relationship"),

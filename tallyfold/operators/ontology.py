@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rules import category_from_array
 from ..functions.text import truncate_text
 from ..session import materialize
 from .graph import clean_edges, closure, reverse, with_self
-from .ranked import row_numbers
 from .windows import first_n
 
 
@@ -23,19 +21,6 @@ def children(edges: DataFrame, terms: DataFrame) -> DataFrame:
     return edges.join(terms.select(F.col(terms.columns[0]).alias("parent")).distinct(), "parent", "left_semi")
 
 
-def cluster_graph(weighted: DataFrame, k: int, max_iter: int = 20) -> DataFrame:
-    """`(node, cluster)` by power iteration on the weighted undirected edges."""
-    nodes = weighted.select(F.col("a").alias("node")).union(weighted.select("b")).distinct()
-    ids = materialize(row_numbers(nodes, ["node"], "id"), "nodes")
-    numbered = (
-        weighted.join(ids.select(F.col("node").alias("a"), F.col("id").alias("src")), "a")
-        .join(ids.select(F.col("node").alias("b"), F.col("id").alias("dst")), "b")
-        .select("src", "dst", F.col("weight").cast("double"))
-    )
-    found = PowerIterationClustering(k=k, maxIter=max_iter, initMode="random", weightCol="weight").assignClusters(numbered)
-    return found.join(ids, "id").select("node", "cluster")
-
-
 def common_roots(edges: DataFrame, membership: DataFrame, top: int = 3, direction: str = "ancestors") -> DataFrame:
     """Up to `top` lowest common ancestors `(cluster, root, common)` of each cluster's nodes.
 
@@ -48,7 +33,7 @@ def common_roots(edges: DataFrame, membership: DataFrame, top: int = 3, directio
     up = materialize(up if direction == "ancestors" else reverse(up), "edges")
     members = materialize(membership.select("cluster", "node").distinct(), "members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    reach = with_self(closure(up, members.select("node")), members.select("node"))
+    reach = with_self(closure(up, members.select("node"), few=False), members.select("node"))
     covered = (
         members.join(reach, F.col("node") == F.col("src"))
         .groupBy("cluster", F.col("dst").alias("root"))
@@ -166,7 +151,7 @@ def term_distance(df: DataFrame, left: str, right: str, edges: DataFrame) -> Dat
     0 for equal terms, null where neither is an ancestor of the other.
     """
     seeds = df.select(F.col(left).alias("t")).union(df.select(right)).distinct()
-    paths = materialize(closure(edges, seeds), "paths")
+    paths = materialize(closure(edges, seeds, few=False), "paths")
     up = paths.select(F.col("src").alias(left), F.col("dst").alias(right), F.col("depth").alias("_up"))
     down = paths.select(F.col("dst").alias(left), F.col("src").alias(right), F.col("depth").alias("_down"))
     return (

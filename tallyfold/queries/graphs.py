@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rules import FINE_CELL_RULES
-from ..operators import graph as G, ontology as O
+from ..operators import graph as G, ontology as O, spectral as S
 from ..session import materialize
 from .registry import CLOSURE, EDGES, ontology_edges, positioned, query, rounded, table
 
@@ -88,7 +88,7 @@ def g7(spark, sf):
     weighted = materialize(G.weighted_edges(ontology_edges(spark, sf), _weights(spark, sf)), "weighted")
     inside = G.largest_component(weighted.select(F.col("b").alias("child"), F.col("a").alias("parent")))
     kept = weighted.join(inside.select(F.col("node").alias("a")), "a", "left_semi")
-    return O.cluster_graph(kept, 5, max_iter=10)
+    return S.spectral_clusters(kept, 5, max_rounds=25)
 
 
 def _membership(spark, sf):
@@ -96,6 +96,20 @@ def _membership(spark, sf):
     return table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 12).alias("cluster"), F.col("p_partkey").alias("node"))
 
 
+@query("l8_graph_silhouette", f"""
+WITH {EDGES}, {WEIGHTS}, g AS (SELECT DISTINCT least(child, parent) AS a, greatest(child, parent) AS b, sqrt(x.weight * y.weight) AS weight
+  FROM e JOIN nw x ON child = x.node JOIN nw y ON parent = y.node),
+mb AS (SELECT p_partkey AS node, p_partkey // 12 AS cluster FROM part), sz AS (SELECT cluster, count(*) AS n FROM mb GROUP BY 1),
+sm AS (SELECT x.node, y.cluster AS other, sum(weight) AS d FROM (SELECT a, b, weight FROM g UNION ALL SELECT b, a, weight FROM g) JOIN mb x ON a = x.node JOIN mb y ON b = y.node GROUP BY 1, 2),
+av AS (SELECT mb.node, mb.cluster, sz.cluster AS other, n, coalesce(d, 0) AS d FROM mb CROSS JOIN sz LEFT JOIN sm ON sm.node = mb.node AND sm.other = sz.cluster),
+sc AS (SELECT node, any_value(cluster) AS cluster, max(CASE WHEN n > 1 THEN d / (n - 1) END) FILTER (WHERE cluster = other) AS own, min(d / n) FILTER (WHERE cluster <> other) AS other FROM av GROUP BY 1)
+SELECT node, cluster, round(own, 6) AS own, round(other, 6) AS other,
+  round(CASE WHEN own IS NULL OR other IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END, 6) AS silhouette FROM sc""")
+def l8(spark, sf):
+    weighted = G.weighted_edges(ontology_edges(spark, sf), _weights(spark, sf))
+    return rounded(S.graph_silhouette(weighted, _membership(spark, sf)), 6)
+
+
 ROOTS = """mb AS (SELECT p_partkey // 12 AS cluster, p_partkey AS node FROM part), sz AS (SELECT cluster, count(*) AS n FROM mb GROUP BY 1),
 cs AS (SELECT src, dst FROM c UNION ALL SELECT p_partkey, p_partkey FROM part),
 cv AS (SELECT cluster, dst AS root, count(*) AS k FROM mb JOIN cs ON node = src GROUP BY 1, 2),

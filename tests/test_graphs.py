@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfold.operators import graph as G, ontology as O
+from tallyfold.operators import graph as G, ontology as O, spectral as S
 from tallyfold.queries.registry import positioned
 
 
@@ -125,13 +125,94 @@ def test_at_most_three_roots_and_other_direction(spark, rows):
         roots(spark, rows, wide, [(1, "a")], direction="up")
 
 
-def test_planted_clusters(spark):
-    pairs = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(6) for j in range(i)]
-    weighted = edge_frame(spark, pairs).selectExpr("least(child, parent) as a", "greatest(child, parent) as b", "1.0 as weight")
-    bridge = spark.createDataFrame([("a0", "b0", 0.01)], "a string, b string, weight double")
-    out = {r.node: r.cluster for r in O.cluster_graph(weighted.unionByName(bridge), 2).collect()}
-    assert len({out[f"a{i}"] for i in range(6)}) == len({out[f"b{i}"] for i in range(6)}) == 1
-    assert out["a1"] != out["b1"]
+def weighted_frame(spark, matrix):
+    n = len(matrix)
+    rows = [(f"n{i:04d}", f"n{j:04d}", float(matrix[i, j])) for i in range(n) for j in range(i + 1, n) if matrix[i, j]]
+    return spark.createDataFrame(rows, "a string, b string, weight double")
+
+
+def laplacian(matrix):
+    d = 1 / np.sqrt(matrix.sum(axis=1))
+    return np.eye(len(matrix)) - matrix * d[:, None] * d[None]
+
+
+def planted(sizes, inside, between, seed):
+    rng = np.random.default_rng(seed)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    chance = np.where(own[:, None] == own[None], inside, between)
+    links = np.triu(rng.random(chance.shape) < chance, 1) * rng.uniform(0.5, 2, chance.shape)
+    ring = np.roll(np.eye(len(own)), 1, axis=1) * 0.05  # so that no node is without an edge
+    whole = links + ring * (own[:, None] == own[None])
+    return whole + whole.T, own
+
+
+def test_eigenvalues_of_five_hundred_nodes(spark):
+    matrix, _ = planted([200, 120, 100, 80], 0.1, 0.004, 3)
+    found = S.smallest_eigenvectors(weighted_frame(spark, matrix), 5)
+    want, vectors = np.linalg.eigh(laplacian(matrix))
+    assert np.allclose(found.values, want[:5], atol=1e-6) and found.rounds < 60
+    rows = sorted(found.vectors.collect(), key=lambda r: r.node)
+    got = np.array([r.vector for r in rows])
+    # the spaces spanned agree: all of the first four vectors lies within the found ones
+    assert np.allclose(np.linalg.norm(got.T @ vectors[:, :4], axis=0), 1, atol=1e-3)
+
+
+def test_planted_groups_of_unequal_size(spark):
+    matrix, own = planted([150, 60, 30, 30, 12], 0.4, 0.01, 5)
+    edges = weighted_frame(spark, matrix)
+    runs = [{r.node: r.cluster for r in S.spectral_clusters(e, 5).collect()} for e in (edges, edges.repartition(11))]
+    assert runs[0] == runs[1] and len(runs[0]) == len(own)
+    wrong = 0
+    for g in range(5):
+        labels = [runs[0][f"n{i:04d}"] for i in np.flatnonzero(own == g)]
+        wrong += len(labels) - max(map(labels.count, set(labels)))
+    assert wrong <= 3 and len(set(runs[0].values())) == 5
+
+
+def test_small_graphs(spark):
+    pairs = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "ab" for i in range(6) for j in range(i)] + [("a0", "b0", 0.01), ("a1", "a1", 5.0), ("a1", "zz", 0.0)]
+    out = {r.node: r.cluster for r in S.spectral_clusters(spark.createDataFrame(pairs, "a string, b string, weight double"), 2).collect()}
+    assert out == {f"{g}{i}": int(g == "b") for g in "ab" for i in range(6)}
+    pair = S.spectral_clusters(spark.createDataFrame([("x", "y", 1.0)], "a string, b string, weight double"), 3)
+    assert sorted(r.cluster for r in pair.collect()) == [0, 1]
+
+
+def test_silhouette_on_the_graph(spark):
+    matrix, own = planted([20, 10, 5, 1], 0.3, 0.1, 6)
+    clusters = own.copy()
+    clusters[[0, 1]] = [2, 1]
+    members = spark.createDataFrame([(f"n{i:04d}", int(c)) for i, c in enumerate(clusters)] + [("alone", 7), ("none", None)], "node string, cluster int")
+    got = {r.node: r.silhouette for r in S.graph_silhouette(weighted_frame(spark, matrix), members).collect()}
+    n = len(own) + 1
+    whole = np.zeros((n, n))
+    whole[:-1, :-1] = matrix
+    labels = np.append(clusters, 7)
+    for i in range(n):
+        sums = {c: whole[i, labels == c].sum() for c in set(labels.tolist())}
+        size = (labels == labels[i]).sum()
+        a = sums[labels[i]] / (size - 1) if size > 1 else None
+        b = min(sums[c] / (labels == c).sum() for c in sums if c != labels[i])
+        want = 0.0 if a is None or max(a, b) == 0 else (b - a) / max(a, b)
+        assert got["alone" if i == n - 1 else f"n{i:04d}"] == pytest.approx(want)
+
+
+def test_a_chain_of_a_thousand_takes_ten_rounds(spark, monkeypatch):
+    rounds = []
+    real = G.write_measured
+    monkeypatch.setattr(G, "write_measured", lambda df, path, **m: (rounds.append(path), real(df, path, **m))[1])
+    chain = [(f"{i:04d}", f"{i + 1:04d}") for i in range(1000)]
+    out = G.closure(edge_frame(spark, chain))
+    wrong = out.where((F.col("dst").cast("int") - F.col("src").cast("int")) != F.col("depth")).count()
+    assert out.count() == 1000 * 1001 // 2 and wrong == 0 and len(rounds) == 10
+
+
+def test_closure_from_few_and_many_seeds(spark, rows):
+    rng = np.random.default_rng(9)
+    pairs = [(str(a), str(b)) for a, b in rng.integers(0, 30, (45, 2))]
+    seeds = spark.createDataFrame([("3",), ("7",), ("11",), ("absent",)], "n string")
+    want = {p: d for p, d in brute_depths(pairs).items() if p[0] in ("3", "7", "11")}
+    for few in (True, False):
+        assert {(s, d): k for s, d, k in rows(G.closure(edge_frame(spark, pairs), seeds, few=few))} == want
 
 
 def test_categories(spark, rows):
