@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from tallyfold.llm.queries import QUERIES
 from tallyfold.llm.topk import Block, products, top_products
@@ -58,12 +59,44 @@ def test_rows_of_all_kinds(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (100, [3.0, 1.0]), (1, None), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 1.0]),
             (None, [9.0, 9.0]), (5, [1.0]), (6, [-1.0, -0.5]), (7, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = grouped(top_products(df, F.col("id") % 100 == 0).collect())
-    unit = 1024 * 1024
-    assert got == {0: [(100, 5 * unit), (6, -2 * unit)], 100: [(0, 5 * unit), (6, -3.5 * unit)]}
+    found, unit, twice = top_products(df, F.col("id") % 100 == 0).collect(), 1024 * 1024, {0: []}
+    got = grouped([r for r in found if r.query_id == 100])
+    twice[0] = [(r.vec_id, r.score) for r in found if r.query_id == 0]
+    assert got[100] == [(0, 5 * unit), (0, 5 * unit), (6, -3.5 * unit)]
+    assert sorted(twice[0]) == [(0, 5 * unit)] * 2 + [(6, -2 * unit)] * 2 + [(100, 5 * unit)] * 2
     assert top_products(df.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 40)) * 5, [float(x) for x in rng.integers(-9, 9, 4)]) for _ in range(300)]
+    rows += [(100, [1.0, 1.0, 0.0, 0.0]), (200, [-1.0, -1.0, 0.0, 0.0]), (1, [2.0, 2.0, 0.0, 0.0]), (1, [-9.0, -9.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            scores = sorted((-sum(int(a) * int(b) for a, b in zip(v, w)), j) for n, (j, w) in enumerate(rows) if n != i)
+            want += [(q, rank + 1, j, -s) for rank, (s, j) in enumerate(scores[:10])]
+    for block, piece, head in ((8192, 2048, 4096), (16, 3, 50)):
+        got = top_products(df, F.col("id") % 100 == 0, scale=1.0, block=block, query_block=piece, head=head).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_a_bucket_out_of_reach_is_not_copied(spark, monkeypatch):
+    rows = [(i, [1000.0 + i, 0.0]) for i in range(100, 150)] + [(i, [0.001, 0.001]) for i in range(201, 600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    copied = []
+    whole = PandasCogroupedOps.applyInPandas
+
+    def seen(self, func, schema):
+        copied.append(self._gd1._df.count())
+        return whole(self, func, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", seen)
+    top_products(df, F.col("id") == 100, block=20, query_block=1).collect()
+    assert copied == [50]
+
+
 def test_query(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     vectors = {r.vec_id: [int(np.floor(1024 * float(x))) for x in r.embedding] for r in rows}
