@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch_path, write_measured
 
 # Ranges used to find quantiles: at least and at most so many, with about so many rows each.
 MIN_CUTS, MAX_CUTS, ROWS_PER_CUT = 16, 2000, 250_000
@@ -26,11 +26,15 @@ def running_weight(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     """Adds `_before`, the weight of the rows that come earlier in their group, and `_total`, that of all.
 
     `order` must be unique within a group. Without `weight` each row counts 1,
-    so `_before` is the zero-based rank and `_total` the number of rows.
+    so `_before` is the zero-based rank and `_total` the number of rows. The
+    input is executed once and written; counting and cutting it into ranges read that.
     """
     by, order = list(by), list(order)
     amount = F.col(weight) if weight else F.lit(1).cast("long")
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_RANGE))
+    path = scratch_path(df.sparkSession, "weighed")
+    n = write_measured(df, path, n=F.count(F.lit(1)))["n"]
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_RANGE))
     rows = materialize(
         df.repartitionByRange(parts, *order)
         .withColumn("_range", F.spark_partition_id())
