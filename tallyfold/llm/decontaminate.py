@@ -100,9 +100,9 @@ class Item:
 class SizeTable:
     """Items of one number of words, with their fingerprints in a table per block.
 
-    The table of a block lists, for each of its values, the items whose block
-    lies in the small Hamming ball around it: `items_at[first[b, v]:first[b, v + 1]]`.
-    A window looks up one place per block.
+    The table of a block lists each value in the small Hamming ball of an item's
+    block with the item, sorted by value, so its size goes by the items alone. A
+    window looks up one value per block.
     """
 
     def __init__(self, items: list[Item]):
@@ -110,20 +110,19 @@ class SizeTable:
         self.words, self.shingle = len(items[0].words), items[0].shingle
         self.shingles = self.words - self.shingle + 1
         self.prints = np.concatenate([window_fingerprints(i.hashes, self.shingles) for i in items])
-        self.first, self.items_at = [], []
+        self.values, self.items_at = [], []
         for b in range(BLOCKS):
             values = (self.prints[:, b, None] ^ _BALL_MASKS[None]).ravel()
             order = np.argsort(values, kind="stable")
-            self.first.append(np.searchsorted(values[order], np.arange((1 << 16) + 1)).astype(np.int32))
+            self.values.append(values[order])
             self.items_at.append((order // len(_BALL_MASKS)).astype(np.int32))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows, items and distances of all pairs that meet in a block, by distance, then by window."""
         pairs = []
         for b in range(BLOCKS):
-            value = prints[:, b].astype(np.int64)
-            first = self.first[b][value]
-            n = self.first[b][value + 1] - first
+            first = np.searchsorted(self.values[b], prints[:, b])
+            n = np.searchsorted(self.values[b], prints[:, b], side="right") - first
             window = np.repeat(np.arange(len(prints)), n)
             within = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
             pairs.append(window * len(self.items) + self.items_at[b][np.repeat(first, n) + within])
