@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numeric import ratio
 from ..session import materialize
 from .joins import all_combinations, null_safe_join
-from .ranked import group_quantiles, running_weight
+from .ranked import column_quantiles, group_quantiles, running_weight
 
 
 def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -39,28 +39,23 @@ def frequent(df: DataFrame, keys: Sequence[str], at_least: int = 1, name: str =
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, std, min, quartiles and max of a column."""
-    by = list(by)
-    base = df.groupBy(*by).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
-    )
     names = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    quartiles = group_quantiles(df, by, value, names)
-    if by:
-        out = null_safe_join(base, quartiles, by, "left")
-    else:
-        found = quartiles.select(F.struct(*names)).scalar()
-        out = base.withColumns({n: found[n] for n in names})
+    base = [F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+            F.min(value).alias("min"), F.max(value).alias("max")]
+    out = column_quantiles(df, by, {value: names}, also=base)
     return out.select(*by, "count", "mean", "std", "min", *names, "max")
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str, method: str = "nearest") -> DataFrame:
     """Quartiles, extremes and whiskers that end inside the data."""
-    by = list(by)
-    ends = df.groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"))
-    quartiles = group_quantiles(df, by, value, {"q1": 0.25, "med": 0.5, "q3": 0.75}, method)
+    by, names = list(by), {"q1": 0.25, "med": 0.5, "q3": 0.75}
+    ends = [F.min(value).alias("min"), F.max(value).alias("max")]
+    if method == "approx":
+        stats = null_safe_join(df.groupBy(*by).agg(*ends), group_quantiles(df, by, value, names, method), by, "inner")
+    else:
+        stats = column_quantiles(df, by, {value: names}, method, also=ends).where("q1 is not null")
     iqr = F.col("q3") - F.col("q1")
-    return null_safe_join(ends, quartiles, by, "inner").withColumn("iqr", iqr).select(
+    return stats.withColumn("iqr", iqr).select(
         *by, "q1", "med", "q3", "min", "max", "iqr",
         F.greatest(F.col("q1") - 1.5 * F.col("iqr"), F.col("min")).alias("whislo"),
         F.least(F.col("q3") + 1.5 * F.col("iqr"), F.col("max")).alias("whishi"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -17,8 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from ..functions.text import map_label
 from ..session import materialize
-from .joins import null_safe_join
-from .ranked import group_quantiles
+from .ranked import column_quantiles
 from .windows import first_n
 
 # Fixed value: columns of the published cell embedding.
@@ -286,17 +287,14 @@ def silhouette(df: DataFrame, vector: str, cluster: str) -> float:
 def label_positions(df: DataFrame, label: str, x: str, y: str) -> DataFrame:
     """Median coordinates per label, where its name would be drawn."""
     known = df.where(F.col(label).isNotNull())
-    a, b = (group_quantiles(known, [label], c, {c: 0.5}) for c in (x, y))
-    return null_safe_join(a, b, [label], "inner")
+    return column_quantiles(known, [label], {x: {x: 0.5}, y: {y: 0.5}}).where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
 
 def trim_outliers(df: DataFrame, columns: Sequence[str], low: float, high: float) -> DataFrame:
     """Rows inside the low..high percentiles of every column."""
-    out = df
-    for c in columns:
-        ends = group_quantiles(df, [], c, {"lo": low, "hi": high}).select(F.struct("lo", "hi")).scalar()
-        out = out.where(F.col(c).between(ends["lo"], ends["hi"]))
-    return out
+    names = {c: {f"lo_{i}": low, f"hi_{i}": high} for i, c in enumerate(columns)}
+    ends = column_quantiles(df, [], names).select(F.struct("*")).scalar()
+    return df.where(reduce(and_, [F.col(c).between(*(ends[n] for n in names[c])) for c in columns], F.lit(True)))
 
 
 def cell_identifier(dataset: str, barcode: str) -> Column:

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import materialize, scratch_path, write_measured
 
-# Ranges used to find quantiles: at least and at most so many, with about so many rows each.
-MIN_CUTS, MAX_CUTS, ROWS_PER_CUT = 16, 2000, 250_000
-SAMPLE_PER_CUT = 50
+# Items a quantile sketch keeps, the error of its ranks (99 % of them), and the slack allowed for it.
+SKETCH_SIZE, RANK_ERROR = 4096, 0.0013
+RANK_SLACK = 3 * RANK_ERROR
+# Groups of up to so many rows are ordered whole.
+FEW_ROWS = 1024
 # Rows of a range within which a window runs.
 ROWS_PER_RANGE = 500_000
 
@@ -105,70 +106,144 @@ def _positions(q: float, method: str, total: Column) -> tuple[Column, Column, Co
     return low, F.ceil(at), at - low
 
 
-def _cut_points(df: DataFrame, value: str) -> list[float]:
-    """Values that split the rows into ranges of about equal size, more of them for larger tables.
+def _bracket(sketch: Column, n: Column, q: float) -> tuple[Column, Column]:
+    """Two values between which the rank of `q` lies; open ends near the extremes and in small groups."""
+    ends = []
+    for rank, open_end in ((q - RANK_SLACK, float("-inf")), (q + RANK_SLACK, float("inf"))):
+        if 0 < rank < 1:
+            ends.append(F.when(n > FEW_ROWS, F.kll_sketch_get_quantile_double(sketch, F.lit(rank))).otherwise(F.lit(open_end)))
+        else:
+            ends.append(F.lit(open_end))
+    return ends[0], ends[1]
 
-    Taken from a sample of bounded size; any cuts give exact ranks, good ones give even ranges.
+
+def column_quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, Mapping[str, float]],
+                     method: str = "linear", also: Sequence[Column] = ()) -> DataFrame:
+    """Exact quantiles of several columns per group, `wanted` giving `{column: {name: q}}`.
+
+    `linear` interpolates, `nearest` picks a row. Missing values, NaN included,
+    do not count; a column of a group without values gives nulls. `also` are
+    further aggregates per group, taken in the same pass.
+
+    The table is read twice, whatever the number of columns. The first pass
+    makes a mergeable sketch per group and column, whose ranks bracket each
+    wanted value. The second counts the values inside the brackets one by one and
+    all between two brackets together, so what is left to order is a share of
+    about `6 * RANK_ERROR` per quantile. Should a bracket miss its rank, which the
+    slack makes next to impossible, that group alone is counted in full.
+    """
+    if method not in ("linear", "nearest"):
+        raise ValueError("method is linear or nearest")
+    by, names = list(by), list(wanted)
+    amounts = {}
+    for i, c in enumerate(names):
+        amount = F.col(c).cast("double")
+        amounts[f"_v{i}"] = F.when(~F.isnan(amount), amount)
+    values = df.select("*", *[c.alias(n) for n, c in amounts.items()])
+    sketches = values.groupBy(*by).agg(
+        *[F.kll_sketch_agg_double(f"_v{i}", F.lit(SKETCH_SIZE)).alias(f"_s{i}") for i in range(len(names))],
+        *[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(names))], *also)
+    extra = sketches.columns[len(by) + 2 * len(names):]
+    ends = []
+    for i, c in enumerate(names):
+        for j, q in enumerate(wanted[c].values()):
+            lo, hi = _bracket(F.col(f"_s{i}"), F.col(f"_n{i}"), float(q))
+            ends += [lo.alias(f"_lo{i}_{j}"), hi.alias(f"_hi{i}_{j}")]
+    brackets = materialize(sketches.select(*by, *[f"_n{i}" for i in range(len(names))], *ends, *extra), "brackets")
+    narrow = values.select(*by, *amounts)
+    picks, missed = _pick(narrow, by, brackets, wanted, method)
+    if missed:
+        lost = picks.where("_missed").select(*by)
+        widened = [c for c in brackets.columns if c.startswith(("_lo", "_hi"))]
+        whole = brackets.withColumns({c: F.lit(float("-inf" if c.startswith("_lo") else "inf")) for c in widened})
+        if by:
+            keyed = [F.col(f"b.{k}").eqNullSafe(F.col(f"x.{k}")) for k in by]
+            whole = whole.alias("b").join(lost.alias("x"), keyed, "left_semi")
+        again, _ = _pick(narrow, by, whole, wanted, method)
+        picks = picks.where("not _missed").unionByName(again)
+    outputs = [n for c in names for n in wanted[c]]
+    if not by:
+        one = picks.select(F.struct(*outputs)).scalar()
+        return brackets.select(*extra, *[one[n].alias(n) for n in outputs])
+    found = brackets.select(*by, *extra).alias("b").join(
+        picks.alias("p"), [F.col(f"b.{k}").eqNullSafe(F.col(f"p.{k}")) for k in by], "left" if extra else "inner")
+    return found.select(*[f"b.{k}" for k in by], *[f"b.{c}" for c in extra], *[f"p.{n}" for n in outputs])
+
+
+def _in_or_between(value: Column, ends: Sequence[tuple[Column, Column]]) -> tuple[Column, Column]:
+    """The value itself inside a bracket, else the end of the last bracket below it; and whether it is outside.
+
+    Order is kept: what lies between two brackets becomes one value, placed between theirs.
     """
-    n = df.count()
-    wanted = min(MAX_CUTS, max(MIN_CUTS, n // ROWS_PER_CUT))
-    share = min(1.0, wanted * SAMPLE_PER_CUT / max(n, 1))
-    taken = sorted(r[0] for r in df.select(value).sample(share, seed=7).collect())
-    cuts = sorted(set(taken[:: max(1, len(taken) // wanted)]))
-    return [c for c in cuts if abs(c) != float("inf")] or [0.0]
+    inside = F.lit(False)
+    for lo, hi in ends:
+        inside = inside | ((lo <= value) & (value <= hi))
+    below = F.greatest(*[F.when(hi < value, hi) for _, hi in ends], F.lit(None).cast("double"))
+    return F.when(inside, value).otherwise(below), ~inside
+
+
+def _pick(values: DataFrame, by: list[str], brackets: DataFrame, wanted: Mapping[str, Mapping[str, float]],
+          method: str) -> tuple[DataFrame, int]:
+    """The quantiles of the groups in `brackets`, written, and in how many groups a bracket missed its rank."""
+    ends = [c for c in brackets.columns if c.startswith(("_lo", "_hi"))]
+    if by:
+        keyed = [F.col(f"v.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
+        rows = values.alias("v").join(brackets.select(*by, *ends).alias("b"), keyed).select("v.*", *[f"b.{c}" for c in ends])
+    else:
+        bounds = brackets.select(F.struct(*ends)).scalar()
+        rows = values.select("*", *[bounds[c].alias(c) for c in ends])
+    columns = []
+    for i, c in enumerate(wanted):
+        value, outside = _in_or_between(F.col(f"_v{i}"), [(F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}")) for j in range(len(wanted[c]))])
+        columns.append(F.struct(F.lit(i).alias("_column"), F.col(f"_v{i}").isNotNull().alias("_known"), value.alias("_value"), outside.alias("_outside")))
+    counted = (
+        rows.select(*by, F.inline(F.array(*columns))).where("_known")
+        .groupBy(*by, "_column", "_value", "_outside").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    path = scratch_path(values.sparkSession, "near-ranks")
+    size = write_measured(counted, path, n=F.count(F.lit(1)))["n"]
+    counted = values.sparkSession.read.schema(counted.schema).parquet(path)
+    keys, order = [*by, "_column"], ["_value", "_outside"]
+    if size <= ROWS_PER_RANGE:  # one task may hold them all
+        ordered = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        placed = counted.withColumns({
+            "_before": F.coalesce(F.sum("_n").over(ordered), F.lit(0)), "_total": F.sum("_n").over(W.partitionBy(*keys))})
+    else:
+        placed = running_weight(counted, order, by=keys, weight="_n")
+    first, last = F.col("_before"), F.col("_before") + F.col("_n")
+    picks, out, missed = [], [], F.lit(False)
+    for i, quantiles in enumerate(wanted.values()):
+        for j, q in enumerate(quantiles.values()):
+            low, high, share = _positions(q, method, F.col("_total"))
+            own = F.col("_column") == i
+            for side, rank in (("a", low), ("z", high)):
+                hit = own & (first <= rank) & (rank < last)
+                picks.append(F.max(F.when(hit, F.col("_value"))).alias(f"_{side}{i}_{j}"))
+                missed = missed | (hit & F.col("_outside"))
+            picks.append(F.max(F.when(own, share)).alias(f"_share{i}_{j}"))
+    found = placed.groupBy(*by).agg(*picks, F.coalesce(F.bool_or(missed), F.lit(False)).alias("_missed"))
+    for i, quantiles in enumerate(wanted.values()):
+        for j, name in enumerate(quantiles):
+            lo, hi = F.col(f"_a{i}_{j}"), F.col(f"_z{i}_{j}")
+            step = F.when(lo != hi, (hi - lo) * F.col(f"_share{i}_{j}")).otherwise(0.0)
+            out.append((lo + step).alias(name))
+    done = found.select(*by, *out, "_missed")
+    path = scratch_path(values.sparkSession, "quantiles")
+    misses = write_measured(done, path, n=F.count_if("_missed"))["n"]
+    return values.sparkSession.read.schema(done.schema).parquet(path), misses
 
 
 def group_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float],
                     method: str = "linear") -> DataFrame:
-    """Exact quantiles per group: `linear` interpolates, `nearest` picks a row.
+    """Quantiles of one column per group, see `column_quantiles`; `approx` is Spark's approximation.
 
-    Missing values, NaN included, do not count. The rows are counted per group
-    and value range first; only the ranges that hold a wanted rank are then
-    sorted, so neither a large group nor the whole column is ever ordered. Reads
-    its input four times: write out an expensive one before.
+    Groups without a value have no row.
     """
     if method == "approx":
         return df.groupBy(*by).agg(
             *[F.percentile_approx(value, q).cast("double").alias(name) for name, q in quantiles.items()]
         )
-    if method not in ("linear", "nearest"):
-        raise ValueError("method is linear, nearest or approx")
-    by = list(by)
-    known = df.select(*by, F.col(value).cast("double").alias("_value")).where(
-        F.col("_value").isNotNull() & ~F.isnan("_value"))
-    splits = [float("-inf"), *_cut_points(known, "_value"), float("inf")]
-    rows = Bucketizer(splits=splits, inputCol="_value", outputCol="_range").transform(known)
-
-    sizes = rows.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    placed = sizes.select(
-        *by, "_range", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(W.partitionBy(*by)).alias("_total"))
-    ranks = {name: _positions(q, method, F.col("_total")) for name, q in quantiles.items()}
-    after = F.col("_offset") + F.col("_n")
-    wanted = F.lit(False)
-    for low, high, _ in ranks.values():
-        for rank in (low, high):
-            wanted = wanted | ((F.col("_offset") <= rank) & (rank < after))
-    targets = placed.where(wanted).drop("_n")
-
-    keyed = [F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
-    near = rows.alias("r").join(targets.alias("t"), [F.col("r._range") == F.col("t._range"), *keyed]).select(
-        "r.*", "t._offset", "t._total")
-    counts = near.groupBy(*by, "_range", "_offset", "_total", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    within = W.partitionBy(*by, "_range").orderBy("_value").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("_offset") + F.coalesce(F.sum("_n").over(within), F.lit(0))
-    ranked = counts.withColumn("_before", before)
-    first, last = F.col("_before"), F.col("_before") + F.col("_n")
-    picks, out = [], []
-    for name, (low, high, share) in ranks.items():
-        for side, rank in (("lo", low), ("hi", high)):
-            picks.append(F.max(F.when((first <= rank) & (rank < last), F.col("_value"))).alias(f"_{side}_{name}"))
-        picks.append(F.max(share).alias(f"_share_{name}"))
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        step = F.when(lo != hi, (hi - lo) * F.col(f"_share_{name}")).otherwise(0.0)
-        out.append((lo + step).alias(name))
-    return ranked.groupBy(*by).agg(*picks).select(*by, *out)
+    return column_quantiles(df, by, {value: quantiles}, method)
 
 
 def group_median(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:

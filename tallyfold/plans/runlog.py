@@ -10,8 +10,7 @@ from ..functions.dates import seconds_between
 from ..functions.numeric import ratio
 from ..functions.text import truncate_text
 from ..operators.aggregate import known_keys
-from ..operators.joins import null_safe_join
-from ..operators.ranked import group_quantiles, running_weight
+from ..operators.ranked import column_quantiles, group_quantiles, running_weight
 
 KINDS = {"tool": "tool_name", "model": "model_name"}
 
@@ -116,14 +115,14 @@ def run_stats(flat: DataFrame, kind: str = "tool") -> DataFrame:
     """Performance per tool or model, most calls first."""
     name = KINDS[kind]
     known = known_keys(flat, [name]).withColumnRenamed(name, "name")
-    base = known.groupBy("name").agg(
+    base = [
         F.count(F.lit(1)).alias("call_count"), F.count_if("has_error").alias("error_count"),
         F.avg(F.col("has_error").cast("double")).alias("error_rate"), F.avg("duration_seconds").alias("avg_duration"),
         F.min("duration_seconds").alias("min_duration"), F.max("duration_seconds").alias("max_duration"),
         F.stddev_samp("duration_seconds").alias("std_duration"), *_usage(kind),
-    )
-    medians = group_quantiles(known, ["name"], "duration_seconds", {"median_duration": 0.5})
-    return null_safe_join(base, medians, ["name"], "left").orderBy(F.desc("call_count"), "name")
+    ]
+    stats = column_quantiles(known, ["name"], {"duration_seconds": {"median_duration": 0.5}}, also=base)
+    return stats.orderBy(F.desc("call_count"), "name")
 
 
 def overall_stats(flat: DataFrame, kind: str = "tool") -> DataFrame:

@@ -116,6 +116,71 @@ def test_quantiles_with_a_hot_group_and_ties(spark):
     assert np.allclose(got.loc[want.index].to_numpy(), want.to_numpy())
 
 
+QUARTERS = {"a": 0.05, "b": 0.5, "c": 0.95}
+
+
+def two_columns(n=30_000):
+    rng = np.random.default_rng(2)
+    return pd.DataFrame({"g": np.where(rng.random(n) < 0.7, "hot", rng.integers(0, 4, n).astype(str)),
+                         "v": np.where(rng.random(n) < 0.3, 7.0, rng.normal(0, 50, n)), "w": rng.lognormal(0, 3, n)})
+
+
+def check_two_columns(spark, pdf):
+    wanted = {c: {f"{c}_{k}": q for k, q in QUARTERS.items()} for c in "vw"}
+    got = R.column_quantiles(spark.createDataFrame(pdf), ["g"], wanted, also=[F.max("v").alias("top")]).toPandas().set_index("g")
+    for c in "vw":
+        want = pdf.groupby("g")[c].quantile(list(QUARTERS.values())).unstack()
+        assert np.allclose(got.loc[want.index, list(wanted[c])].to_numpy(), want.to_numpy())
+    assert np.allclose(got["top"].sort_index(), pdf.groupby("g").v.max().sort_index())
+
+
+def test_quantiles_of_two_columns_beyond_the_sketch(spark):
+    pdf = two_columns()
+    assert pdf.g.value_counts().min() > R.FEW_ROWS
+    check_two_columns(spark, pdf)
+
+
+def test_few_values_are_left_to_order(spark, monkeypatch):
+    seen = []
+    real = R.write_measured
+    monkeypatch.setattr(R, "write_measured", lambda df, path, **m: seen.append(real(df, path, **m)) or seen[-1])
+    spread = spark.range(400_000).select(F.rand(1).alias("v"))
+    got = R.column_quantiles(spread, [], {"v": {"a": 0.5}}).first()["a"]
+    assert abs(got - 0.5) < 0.01
+    # one row for each value in the bracket, whose two ends may be off by the error of the sketch themselves
+    assert seen[0]["n"] < 400_000 * (2 * R.RANK_SLACK + 2 * R.RANK_ERROR)
+
+
+def test_a_missed_bracket_is_counted_in_full(spark, monkeypatch):
+    monkeypatch.setattr(R, "_bracket", lambda s, n, q: (F.lit(1e9), F.lit(1e9)))
+    check_two_columns(spark, two_columns(6_000))
+
+
+def test_values_near_a_rank_may_be_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS_PER_RANGE", 50)
+    check_two_columns(spark, two_columns(6_000))
+
+
+@pytest.mark.parametrize("columns", [["v"], ["v", "w"]])
+def test_quantiles_read_the_table_twice(spark, tmp_path, columns):
+    pdf = two_columns(3_000)
+    spark.createDataFrame(pdf).write.parquet(f"{tmp_path}/t")
+    reads = spark.sparkContext.accumulator(0)
+    tagged = F.udf(lambda v: reads.add(1) or v, "double")
+    df = spark.read.parquet(f"{tmp_path}/t").withColumn("v", tagged.asNondeterministic()("v"))
+    R.column_quantiles(df, ["g"], {c: {f"{c}_m": 0.5} for c in columns}).collect()
+    assert reads.value == 2 * len(pdf)
+
+
+def test_quantiles_of_odd_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", -inf, 1.0), ("a", inf, None), ("a", 3.0, float("nan")), (None, 4.0, 2.0), ("c", None, None)], "g string, v double, w double")
+    got = R.column_quantiles(df, ["g"], {"v": {"m": 0.5}, "w": {"k": 0.5}}).collect()
+    assert {tuple(r) for r in got} == {("a", 3.0, 1.0), (None, 4.0, 2.0)}
+    assert R.column_quantiles(df.where("false"), ["g"], {"v": {"m": 0.5}}).collect() == []
+    assert R.column_quantiles(df.where("false"), [], {"v": {"m": 0.5}}).first()["m"] is None
+
+
 def test_running_weight_is_exact_over_ranges(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 900, p=[0.8, 0.1, 0.1]), "o": rng.permutation(900), "w": rng.integers(0, 9, 900)})
