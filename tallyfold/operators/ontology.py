@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rules import category_from_array
 from ..functions.text import truncate_text
-from ..session import materialize
+from ..session import materialize, scratch_path, write_measured
 from .graph import clean_edges, closure, reverse, with_self
+from .ranked import running_weight
 from .windows import first_n
 
 
@@ -21,6 +22,52 @@ def children(edges: DataFrame, terms: DataFrame) -> DataFrame:
     return edges.join(terms.select(F.col(terms.columns[0]).alias("parent")).distinct(), "parent", "left_semi")
 
 
+# Edges that a round of `coverage` goes up at once, as a power of two.
+STRIDE_DOUBLINGS = 2
+
+
+def coverage(up: DataFrame, members: DataFrame) -> DataFrame:
+    """`(cluster, node, covers, size)`: every ancestor of a cluster's nodes, the nodes included, and how many of them it covers.
+
+    The nodes of a cluster are numbered, and each number is a bit of a mask, 64 to
+    a row. Masks, not pairs of nodes and ancestors, move up the edges and are merged
+    where they meet, so a large cluster below one term is one row for each 64 of
+    its nodes. A round goes several edges up with the bits that were new in the
+    round before, and is written to a folder of its own.
+    """
+    spark, root = members.sparkSession, scratch_path(members.sparkSession, "coverage")
+    numbered = running_weight(members.where(F.col("cluster").isNotNull()), ["node"], by=["cluster"])
+    masks = materialize(numbered.select(
+        "cluster", F.floor(F.col("_before") / 64).alias("block"), "node", F.col("_total").alias("size"),
+        F.expr("shiftleft(1L, cast(_before % 64 as int))").alias("bits")), "masks")
+    above = _within(up, STRIDE_DOUBLINGS)
+    keys = ["cluster", "block", "node", "size"]
+    known, fresh, rounds, gained = masks, masks, 0, 1
+    while gained:
+        risen = fresh.join(above, F.col("node") == F.col("child")).select(
+            "cluster", "block", F.col("parent").alias("node"), "size", F.col("bits").alias("_new"), F.lit(0).cast("long").alias("_old"))
+        both = risen.unionByName(known.select(*keys, F.lit(0).cast("long").alias("_new"), F.col("bits").alias("_old")))
+        merged = both.groupBy(*keys).agg(F.bit_or("_new").alias("_new"), F.bit_or("_old").alias("_old")).select(
+            *keys, F.col("_new").bitwiseOR(F.col("_old")).alias("bits"),
+            F.col("_new").bitwiseAND(F.bitwise_not("_old")).alias("gained"))
+        rounds += 1
+        gained = write_measured(merged, f"{root}/{rounds}", n=F.count_if(F.col("gained") != 0))["n"]
+        known = spark.read.schema(merged.schema).parquet(f"{root}/{rounds}")
+        fresh = known.where("gained != 0").select(*keys, F.col("gained").alias("bits"))
+    return known.groupBy("cluster", "node", "size").agg(F.sum(F.bit_count("bits")).alias("covers")).select(
+        "cluster", "node", "covers", "size")
+
+
+def _within(up: DataFrame, doublings: int) -> DataFrame:
+    """All pairs joined by a path of at most 2 ** doublings edges."""
+    pairs = up.select("child", "parent")
+    for _ in range(doublings):
+        onward = pairs.select(F.col("child").alias("parent"), F.col("parent").alias("_far"))
+        longer = pairs.join(onward, "parent").select("child", F.col("_far").alias("parent"))
+        pairs = materialize(pairs.unionByName(longer).where(F.col("child") != F.col("parent")).distinct(), "within")
+    return pairs
+
+
 def common_roots(edges: DataFrame, membership: DataFrame, top: int = 3, direction: str = "ancestors") -> DataFrame:
     """Up to `top` lowest common ancestors `(cluster, root, common)` of each cluster's nodes.
 
@@ -33,20 +80,11 @@ def common_roots(edges: DataFrame, membership: DataFrame, top: int = 3, directio
     up = materialize(up if direction == "ancestors" else reverse(up), "edges")
     members = materialize(membership.select("cluster", "node").distinct(), "members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    reach = with_self(closure(up, members.select("node"), few=False), members.select("node"))
-    covered = (
-        members.join(reach, F.col("node") == F.col("src"))
-        .groupBy("cluster", F.col("dst").alias("root"))
-        .agg(F.count(F.lit(1)).alias("covers"))
-    )
     # a cluster of one node is its own root
-    common = materialize(
-        covered.join(sizes, "cluster").where("covers = size")
-        .join(members, (members["cluster"] == covered["cluster"]) & (F.col("size") == 1), "left")
-        .where("node is null or node = root")
-        .select(covered["cluster"], "root"),
-        "common",
-    )
+    single = members.join(sizes.where("size = 1"), "cluster").select("cluster", F.col("node").alias("root"))
+    several = members.join(sizes.where("size > 1"), "cluster", "left_semi")
+    shared = coverage(up, several).where("covers = size").select("cluster", F.col("node").alias("root"))
+    common = materialize(shared.unionByName(single.where(F.col("root").isNotNull())), "common")
     # whatever is above a common ancestor is common too, so looking one edge down is enough
     higher = (
         common.join(up, F.col("root") == F.col("child"))

@@ -1,6 +1,6 @@
 """Graph and ontology operators on small graphs and against brute force."""
 
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 
 import numpy as np
 import pytest
@@ -117,6 +117,56 @@ def test_roots_without_common_ancestor(spark, rows):
     assert roots(spark, rows, [("s", "p"), ("q", "z")], [(1, "s"), (1, "p"), (1, "q")]) == [(1, "p"), (1, "q")]
 
 
+def random_graph(seed, n, acyclic=True):
+    rng = np.random.default_rng(seed)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, n, (2 * n, 2)) if (a > b if acyclic else a != b)}
+    members = sorted({(int(c), int(v)) for c, v in zip(rng.integers(0, 6, n), rng.integers(0, n, n))})
+    return sorted(pairs), members
+
+
+def reached(pairs, start):
+    seen, todo = {start}, [start]
+    while todo:
+        at = todo.pop()
+        for p in (b for a, b in pairs if a == at):
+            if p not in seen:
+                seen.add(p)
+                todo.append(p)
+    return seen
+
+
+@pytest.mark.parametrize("seed, n, acyclic", [(1, 40, True), (2, 60, False)])
+def test_coverage_against_single_walks(spark, rows, seed, n, acyclic):
+    pairs, members = random_graph(seed, n, acyclic)
+    got = O.coverage(spark.createDataFrame(pairs, "child long, parent long"), spark.createDataFrame(members, "cluster long, node long"))
+    want = Counter((c, r) for c, v in members for r in reached(pairs, v))
+    sizes = Counter(c for c, _ in members)
+    assert rows(got) == sorted((c, r, k, sizes[c]) for (c, r), k in want.items())
+
+
+def test_a_large_cluster_is_a_row_for_each_64_nodes(spark, monkeypatch):
+    seen = []
+    real = O.write_measured
+    monkeypatch.setattr(O, "write_measured", lambda df, path, **m: (real(df, path, **m), seen.append((df.sparkSession, path)))[0])
+    # 640 nodes below a chain of 32 terms: ten masks a term, not 640 pairs
+    chain = [(f"t{i:02}", f"t{i + 1:02}") for i in range(32)]
+    up = edge_frame(spark, [(f"n{i}", "t00") for i in range(640)] + chain)
+    members = spark.createDataFrame([(1, f"n{i}") for i in range(640)], "cluster int, node string")
+    full = O.coverage(up, members).where("covers = size")
+    assert sorted(r.node for r in full.collect()) == [f"t{i:02}" for i in range(33)]
+    assert len(seen) <= 10  # four edges a round, and one round that finds nothing
+    session, path = seen[-1]
+    assert session.read.parquet(path).where("node like 't%'").count() == 33 * 10
+
+
+def test_roots_do_without_pairs_of_members_and_ancestors(spark, rows, monkeypatch):
+    def refuse(*a, **k):
+        raise AssertionError("closure of the members")
+    monkeypatch.setattr(O, "closure", refuse)
+    family = [("s", "p"), ("t", "p"), ("p", "r"), ("u", "r")]
+    assert roots(spark, rows, family, [(1, "s"), (1, "t"), (2, "s"), (2, "u")]) == [(1, "p"), (2, "r")]
+
+
 def test_at_most_three_roots_and_other_direction(spark, rows):
     wide = [(c, p) for c in "xy" for p in "abcd"]
     assert roots(spark, rows, wide, [(1, "x"), (1, "y")]) == [(1, "a"), (1, "b"), (1, "c")]
