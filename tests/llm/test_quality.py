@@ -1,6 +1,8 @@
-"""The classifier: held-out accuracy, and scores of odd rows."""
+"""The classifier: held-out accuracy, updates against a plain loop, and scores of odd rows."""
 
+import math
 import zlib
+from collections import defaultdict
 
 import numpy as np
 
@@ -46,3 +48,48 @@ def test_rows_of_all_kinds(spark):
     assert quality.score(docs.limit(0), weights).count() == 0
     none = quality.train(docs, labels.limit(0))
     assert not none.any() and {r.score for r in quality.score(docs, none).collect()} == {0.5}
+
+
+def plain_weight(rule, z, n):
+    if abs(z) <= rule.l1:
+        return 0.0
+    return -(z - math.copysign(rule.l1, z)) / ((rule.beta + math.sqrt(n)) / rule.alpha + rule.l2)
+
+
+def plain_training(rows, rule, rounds):
+    """Textbook updates, one weight at a time, on dicts; parts start from the mean state of the round before."""
+    z, n = defaultdict(float), defaultdict(float)
+    for _ in range(rounds):
+        moved_z, moved_n = defaultdict(float), defaultdict(float)
+        for part in range(quality.PARTS):
+            own_z, own_n = defaultdict(float, z), defaultdict(float, n)
+            mine = sorted((r for r in rows if r.part == part), key=lambda r: (r.turn, r.label))
+            for _ in range(quality.PASSES):
+                for r in mine:
+                    w = {i: plain_weight(rule, own_z[i], own_n[i]) for i in r.places}
+                    p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(r.places, r["values"]))))
+                    for i, v in zip(r.places, r["values"]):
+                        g = (p - r.label) * v
+                        sigma = (math.sqrt(own_n[i] + g * g) - math.sqrt(own_n[i])) / rule.alpha
+                        own_z[i] += g - sigma * w[i]
+                        own_n[i] += g * g
+            for i in own_z:
+                moved_z[i] += own_z[i] - z[i]
+                moved_n[i] += own_n[i] - n[i]
+        for i in moved_z:
+            z[i] += moved_z[i] / quality.PARTS
+            n[i] += moved_n[i] / quality.PARTS
+    return {i: plain_weight(rule, z[i], n[i]) for i in z}
+
+
+def test_updates_against_a_plain_loop(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rule = quality.Rule(alpha=0.7, beta=1.5, l1=0.02, l2=0.3)
+    rows = quality.training_rows(docs, labels, "doc_id", "text", "quality", max_rows=60).collect()
+    assert len({r.part for r in rows}) == quality.PARTS and {r.label for r in rows} == {0, 1}
+    got = quality.train(docs, labels, max_rows=60, rounds=3, rule=rule)
+    want = np.zeros(len(got))
+    for i, w in plain_training(rows, rule, 3).items():
+        want[i] = w
+    assert np.count_nonzero(want) > 100 and np.count_nonzero(want == 0) > 0
+    assert np.allclose(got, want, atol=1e-5)
