@@ -11,7 +11,7 @@ from ..functions.numeric import within_int32
 from .joins import first_row
 
 
-def _incoming(base: DataFrame, incoming: DataFrame, keys: Sequence[str],
+def incoming_rows(base: DataFrame, incoming: DataFrame, keys: Sequence[str],
               order_by: Sequence[Column | str], skip: Sequence[str]) -> DataFrame:
     """One row per key, with the base's columns only, in the base's types."""
     picked = first_row(incoming, keys, order_by)
@@ -47,10 +47,10 @@ def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str],
     An incoming null overwrites. Columns unknown to the base and those in `skip`
     are ignored. Of several incoming rows with one key the first by `order_by` counts.
     """
-    return _merged(base, _incoming(base, incoming, keys, order_by, skip), keys, "full")
+    return _merged(base, incoming_rows(base, incoming, keys, order_by, skip), keys, "full")
 
 
 def update(base: DataFrame, incoming: DataFrame, keys: Sequence[str],
            order_by: Sequence[Column | str] = (), skip: Sequence[str] = ("id",)) -> DataFrame:
     """Like `upsert`, but keys the base does not have are ignored."""
-    return _merged(base, _incoming(base, incoming, keys, order_by, skip), keys, "left")
+    return _merged(base, incoming_rows(base, incoming, keys, order_by, skip), keys, "left")

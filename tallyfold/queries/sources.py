@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import nested_counts
+from ..operators.keyed import KeyedTable
 from ..operators.merge import update, upsert
 from ..plans import runlog
 from ..session import scratch_path
@@ -44,15 +45,26 @@ def s3(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count("extra").alias("n_extra"))
 
 
-@query("s4_rows_of_datasets", """
+ROWS_SQL = """
 SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
-WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""")
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')"""
+
+
+@query("s4_rows_of_datasets", ROWS_SQL)
 def s4(spark, sf):
     ids = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     return files.read_for_ids(spark, f"{sf}/lineitem.parquet", ids, "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_quantity")
 
 
+@query("s4_rows_of_buckets", ROWS_SQL)
+def s4_buckets(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    kept = KeyedTable(spark, scratch_path(spark, "lines"), lines.schema, ["l_orderkey"], 16)
+    kept.create(lines)
+    return kept.rows_of(table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey")))
+
+
 @query("s5_results_with_metadata", """
 SELECT l_orderkey AS sample, l_returnflag AS feature, l_linenumber AS part_no, l_quantity AS cells, o_orderpriority AS lib_prep
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -259,24 +271,52 @@ inc AS (SELECT c_custkey, balance FROM (
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) WHERE rn = 1)"""
 
 
-@query("k5_upsert", f"""
+UPSERT_SQL = f"""
 WITH {ACCOUNTS}
 SELECT coalesce(b.c_custkey, i.c_custkey) AS c_custkey, b.segment, CASE WHEN i.c_custkey IS NOT NULL THEN i.balance ELSE b.balance END AS balance
-FROM base b FULL JOIN inc i ON b.c_custkey = i.c_custkey""")
+FROM base b FULL JOIN inc i ON b.c_custkey = i.c_custkey"""
+
+
+@query("k5_upsert", UPSERT_SQL)
 def k5(spark, sf):
     base, incoming = _accounts(spark, sf)
     return upsert(base, incoming, ["c_custkey"], ["order_no"])
 
 
-@query("k6_update", f"""
+UPDATE_SQL = f"""
 WITH {ACCOUNTS}
 SELECT b.c_custkey, b.segment, CASE WHEN i.c_custkey IS NOT NULL THEN i.balance ELSE b.balance END AS balance
-FROM base b LEFT JOIN inc i ON b.c_custkey = i.c_custkey""")
+FROM base b LEFT JOIN inc i ON b.c_custkey = i.c_custkey"""
+
+
+@query("k6_update", UPDATE_SQL)
 def k6(spark, sf):
     base, incoming = _accounts(spark, sf)
     return update(base, incoming, ["c_custkey"], ["order_no"])
 
 
+def _keyed_accounts(spark, base):
+    kept = KeyedTable(spark, scratch_path(spark, "accounts"), base.schema, ["c_custkey"], 16)
+    kept.create(base)
+    return kept
+
+
+@query("k5_upsert_buckets", UPSERT_SQL)
+def k5_buckets(spark, sf):
+    base, incoming = _accounts(spark, sf)
+    kept = _keyed_accounts(spark, base)
+    kept.upsert(incoming, ["order_no"])
+    return kept.rows()
+
+
+@query("k6_update_buckets", UPDATE_SQL)
+def k6_buckets(spark, sf):
+    base, incoming = _accounts(spark, sf)
+    kept = _keyed_accounts(spark, base)
+    kept.update(incoming, ["order_no"])
+    return kept.rows()
+
+
 @query("k7_write_per_dataset", """
 WITH r AS (SELECT CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS dataset, o_orderstatus FROM orders)
 SELECT dataset, CAST(count(*) AS BIGINT) AS n FROM r WHERE dataset IS DISTINCT FROM '5-LOW' GROUP BY 1
