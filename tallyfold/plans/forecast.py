@@ -48,12 +48,17 @@ def funnel(df: DataFrame, stages: Mapping[str, Column], results: DataFrame, key:
     return flag_counts(df, stages).withColumn("with_results", n_done)
 
 
-def storage_usage(objects: DataFrame, traffic: DataFrame, price: float = EGRESS_PRICE, copies: int = 1) -> DataFrame:
+def storage_usage(objects: DataFrame, traffic: DataFrame, price: float = EGRESS_PRICE, copies: int = 1,
+                  window: Column | None = None) -> DataFrame:
     """Per bucket: size, objects, outgoing bytes, downloads and cost.
 
-    `objects` is `(bucket, length)` and `traffic` `(bucket, bytes)`, already cut to
-    the time wanted. `copies` is the number of variants the size covers.
+    `objects` is `(bucket, length)`, `traffic` the metric points `(bucket, bytes)`
+    with a time if a `window` over it is given (`in_days`, `in_last_days`); points
+    outside the window, or without a time, do not count. `copies` is the number
+    of variants the size covers.
     """
+    if window is not None:
+        traffic = traffic.where(window)
     size = objects.groupBy("bucket").agg(F.sum("length").alias("size_bytes"), F.count(F.lit(1)).alias("n_objects"))
     sent = traffic.groupBy("bucket").agg(F.sum("bytes").alias("egress_bytes"))
     return size.join(sent, "bucket", "left").fillna({"egress_bytes": 0}).select(

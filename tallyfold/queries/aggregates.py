@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import aggregate as A
+from ..functions.dates import in_days
+from ..operators import aggregate as A, sketches as K
 from ..operators.cells import average_over
 from ..operators.joins import drop_duplicated_keys, first_row
 from ..operators.ontology import category_frequency
@@ -319,16 +320,25 @@ y AS (SELECT DISTINCT p_brand AS g, l_partkey AS gene FROM lineitem JOIN part ON
 m AS (SELECT p_brand AS g, p_partkey AS gene FROM part WHERE p_size > 10)"""
 
 
-@query("a24_set_recovery", f"""
+RECOVERY_SQL = f"""
 WITH {RANKINGS}, j AS (SELECT m.g, x.gene IS NOT NULL AS a, y.gene IS NOT NULL AS b FROM m LEFT JOIN x ON m.g = x.g AND m.gene = x.gene LEFT JOIN y ON m.g = y.g AND m.gene = y.gene
   WHERE m.g IN (SELECT g FROM x) AND m.g IN (SELECT g FROM y))
 SELECT g AS "group", CAST(count(*) AS BIGINT) AS n_markers, round(count(*) FILTER (WHERE a) / count(*), 6) AS left_fraction, round(count(*) FILTER (WHERE b) / count(*), 6) AS right_fraction,
   round(count(*) FILTER (WHERE a AND b) / count(*), 6) AS shared_fraction, round(coalesce(count(*) FILTER (WHERE a AND b) / nullif(count(*) FILTER (WHERE a OR b), 0), 0), 6) AS jaccard
-FROM j GROUP BY 1""")
+FROM j GROUP BY 1"""
+
+
+@query("a24_set_recovery", RECOVERY_SQL)
 def a24(spark, sf):
     return rounded(A.set_recovery(*_rankings(spark, sf), "group", "gene"), 6)
 
 
+@query("a24_sketch_recovery", RECOVERY_SQL)
+def a24_sketches(spark, sf):
+    left, right, markers = (K.id_sketches(df, ["group"], "gene") for df in _rankings(spark, sf))
+    return rounded(K.sketch_recovery(left, right, markers, "group"), 6)
+
+
 @query("a25_axis_mean", """
 SELECT c_mktsegment AS tissue, round(avg(v), 4) AS v FROM (
   SELECT c_mktsegment, c_nationkey, sum(c_acctbal) / count(*) AS v FROM customer GROUP BY 1, 2) GROUP BY 1""")
@@ -366,6 +376,20 @@ def a27(spark, sf):
     return rounded(forecast.storage_usage(objects, traffic, copies=5), 6)
 
 
+@query("a27_storage_window", """
+WITH o AS (SELECT event_type AS bucket, CAST(sum(event_id) AS BIGINT) AS size_bytes, CAST(count(*) AS BIGINT) AS n_objects FROM events GROUP BY 1),
+t AS (SELECT event_type AS bucket, CAST(sum(event_id % 1000) AS BIGINT) AS egress_bytes FROM events WHERE ts >= DATE '2024-01-02' AND ts < DATE '2024-01-06' GROUP BY 1)
+SELECT o.bucket, size_bytes, n_objects, coalesce(egress_bytes, 0) AS egress_bytes,
+  round(coalesce(egress_bytes, 0) / size_bytes, 8) AS downloads, round(coalesce(egress_bytes, 0) / 1099511627776 * 120, 8) AS cost
+FROM o LEFT JOIN t ON o.bucket = t.bucket""")
+def a27_window(spark, sf):
+    events = table(spark, sf, "events")
+    objects = events.select(F.col("event_type").alias("bucket"), F.col("event_id").alias("length"))
+    points = events.select(F.col("event_type").alias("bucket"), "ts", (F.col("event_id") % 1000).alias("bytes"))
+    usage = forecast.storage_usage(objects, points, window=in_days("ts", "2024-01-02", "2024-01-05"))
+    return rounded(usage.drop("size_text"), 8)
+
+
 @query("a28_cost_projection", """
 SELECT CAST(count(*) AS BIGINT) AS n, round(count(*) / 60.0::DOUBLE, 4) AS hours, round(count(*) * 0.08::DOUBLE, 4) AS cost, CAST(count(*) * 63000 AS BIGINT) AS tokens,
   round(8 * 25 * count(*) FILTER (WHERE o_orderstatus <> 'F') / 60.0::DOUBLE, 4) AS cpu_hours_saved FROM orders""")

@@ -8,6 +8,7 @@ from ..operators import joins as J
 from ..operators.aggregate import recovered_fraction, with_group_total
 from ..operators.cells import align_cells, cell_totals, coverage
 from ..operators.grid import key_grid
+from ..operators.sketches import id_sketches, merged_sketches, sketch_overlap
 from ..plans.catalogues import last_lookup
 from .registry import COUNTS, DATASETS, counts_long, datasets, query, rounded, table
 
@@ -183,6 +184,18 @@ def u2(spark, sf):
     return ids.intersect(table(spark, sf, "orders").select("o_custkey")).intersect(table(spark, sf, "lineitem").select("l_partkey"))
 
 
+@query("u2_sketch_overlap", """
+WITH a AS (SELECT DISTINCT l_returnflag AS flag, l_partkey AS id FROM lineitem WHERE l_quantity > 47),
+b AS (SELECT DISTINCT l_returnflag AS flag, l_partkey AS id FROM lineitem WHERE l_quantity < 4),
+j AS (SELECT coalesce(a.flag, b.flag) AS flag, a.id AS x, b.id AS y FROM a FULL JOIN b ON a.flag = b.flag AND a.id = b.id)
+SELECT flag, CAST(count(x) AS BIGINT) AS n_left, CAST(count(y) AS BIGINT) AS n_right, CAST(count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS BIGINT) AS n_shared,
+  CAST(count(*) AS BIGINT) AS n_union, round(count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) / count(*), 6) AS jaccard FROM j GROUP BY 1""")
+def u2_sketches(spark, sf):
+    lines = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.year("l_shipdate").alias("year"), "l_partkey", "l_quantity")
+    sides = [id_sketches(lines.where(w), ["flag", "year"], "l_partkey") for w in ("l_quantity > 47", "l_quantity < 4")]
+    return rounded(sketch_overlap(*[merged_sketches(s, ["flag"]) for s in sides], ["flag"]), 6)
+
+
 @query("u3_gap_both_ways", """
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'left' WHEN a.id IS NULL THEN 'right' ELSE 'both' END AS found_in
 FROM (SELECT DISTINCT o_custkey AS id FROM orders) a FULL JOIN (SELECT DISTINCT l_partkey AS id FROM lineitem) b ON a.id = b.id""")
