@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cells as C, embed as E
 from ..operators.aggregate import agreement, set_recovery
+from ..operators.classify import read_models, train_together, write_models
+from ..session import scratch_path
 from .registry import COUNTS, counts_long, query, rounded, table
 
 
@@ -129,6 +131,22 @@ def l4(spark, sf):
     return E.annotate(rows, "tissue", "embedding", models, name="predicted").select("vec_id", "cell_type", "predicted")
 
 
+@query("l3_train_together")
+def l3_together(spark, sf):
+    models = train_together(_embedded(spark, sf), "tissue", "embedding", "cell_type")
+    path = scratch_path(spark, "models")
+    write_models(spark, models, path)
+    norm = F.sqrt(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w))
+    return spark.read.parquet(path).select(F.col("part").alias("tissue"), F.col("label").alias("cell_type"), "bias", norm.alias("weight_norm"))
+
+
+@query("l4_annotate_trained")
+def l4_trained(spark, sf):
+    rows, path = _embedded(spark, sf), scratch_path(spark, "models")
+    write_models(spark, train_together(rows, "tissue", "embedding", "cell_type"), path)
+    return E.annotate(rows, "tissue", "embedding", read_models(spark, path), name="predicted").select("vec_id", "cell_type", "predicted")
+
+
 @query("l5_integrity_checks", """
 SELECT CAST(count(*) FILTER (WHERE embedding IS NULL OR len(embedding) <> 64) AS BIGINT) AS wrong_width,
   CAST((SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)) AS BIGINT) AS only_left,
