@@ -11,6 +11,7 @@ from ..functions.text import UNTYPED_WORDS, nullify
 from ..session import materialize
 from .joins import all_combinations, composed_key
 from .ranked import global_quantile
+from .significance import adjusted_p, t_p_value
 from .windows import first_n
 
 # A cell passes with more genes and more molecules than these, a
@@ -86,12 +87,14 @@ def clean_types(cells: DataFrame, label: str) -> DataFrame:
     return cells.withColumn(label, nullify(label, UNTYPED_WORDS)).where(F.col(label).isNotNull())
 
 
-def rank_genes(counts: DataFrame, cells: DataFrame, group: str, top_n: int | None = None) -> DataFrame:
+def rank_genes(counts: DataFrame, cells: DataFrame, group: str, top_n: int | None = None,
+               p_values: bool = False) -> DataFrame:
     """Genes of each group scored against all other cells.
 
     Welch's t on log-normalised counts, computed from sums over the non-zero
     rows; zeros enter through the group sizes. A score is null where neither
-    side varies. `log_fold_change` is base 2.
+    side varies. `log_fold_change` is base 2. With `p_values`, two-sided p-values
+    and those adjusted over all genes of the group; a null score has p-value 1.
     """
     sizes = materialize(
         cells.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n1")).where("n1 > 1"), "sizes")
@@ -103,6 +106,8 @@ def rank_genes(counts: DataFrame, cells: DataFrame, group: str, top_n: int | Non
         F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")), "sums")
     genes = sums.groupBy("gene_id").agg(F.sum("s").alias("all_s"), F.sum("ss").alias("all_ss"))
     n_all = sizes.agg(F.sum("n1").alias("n")).scalar()
+    spread1, spread2 = F.col("v1") / F.col("n1"), ratio("v2", "n2")
+    freedom = ratio((spread1 + spread2) ** 2, spread1**2 / (F.col("n1") - 1) + ratio(spread2**2, F.col("n2") - 1))
     full = all_combinations(genes, sizes).join(sums, [group, "gene_id"], "left").fillna({"s": 0.0, "ss": 0.0})
     n1, n2 = F.col("n1"), F.col("n2")
     m1, m2 = F.col("m1"), F.col("m2")
@@ -115,8 +120,11 @@ def rank_genes(counts: DataFrame, cells: DataFrame, group: str, top_n: int | Non
         .withColumn("score", ratio(m1 - m2, F.sqrt(F.col("v1") / n1 + ratio("v2", "n2"))))
         .withColumn("log_fold_change", F.log2((F.expm1("m1") + 1e-9) / (F.expm1("m2") + 1e-9)))
         .select(F.col(group).alias("group"), F.col("gene_id").alias("gene"), "score", "log_fold_change",
-                F.col("m1").alias("mean_group"), F.col("m2").alias("mean_rest"))
+                F.col("m1").alias("mean_group"), F.col("m2").alias("mean_rest"),
+                *[t_p_value(F.col("score"), freedom).alias("p")] * p_values)
     )
+    if p_values:
+        scored = adjusted_p(scored, ["group"], ["gene"])
     return top_genes(scored, top_n) if top_n else scored
 
 

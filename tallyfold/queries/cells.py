@@ -66,6 +66,26 @@ def x6(spark, sf):
                             "mean_group": F.round("mean_group", 6), "mean_rest": F.round("mean_rest", 6)})
 
 
+# p-values by the continued fraction of the incomplete beta integral, 1500 terms evaluated from the back
+P_VALUES = f"""{RANKED}, fr AS (SELECT grp, gene_id, n1, n2, greatest(0, (s1 - n1 * m1 * m1) / (n1 - 1)) / n1 AS w1, greatest(0, (s2 - n2 * m2 * m2) / (n2 - 1)) / n2 AS w2 FROM st),
+td AS (SELECT grp, gene_id, score, (w1 + w2) ** 2 / (w1 ** 2 / (n1 - 1) + w2 ** 2 / (n2 - 1)) AS df FROM fr JOIN sc ON sc."group" = grp AND gene = gene_id WHERE score IS NOT NULL),
+be AS (SELECT grp, gene_id, df / (df + score * score) >= (df / 2 + 1) / (df / 2 + 2.5) AS near, df / 2 AS h, df / (df + score * score) AS x FROM td),
+ab AS (SELECT *, CASE WHEN near THEN 0.5 ELSE h END AS a, CASE WHEN near THEN h ELSE 0.5 END AS b, CASE WHEN near THEN 1 - x ELSE x END AS z FROM be),
+cf AS (SELECT grp, gene_id, near, exp(lgamma(h + 0.5) - lgamma(h) - lgamma(0.5) + CASE WHEN z > 0 THEN a * ln(z) + b * ln(1 - z) ELSE -1000 END) / a / list_reduce(
+  list_transform(range(1500, 0, -1), lambda k: k::DOUBLE), lambda v, k: 1 + CASE WHEN k % 2 = 1 THEN -(a + (k - 1) / 2) * (a + b + (k - 1) / 2) * z / ((a + k - 1) * (a + k))
+  ELSE k / 2 * (b - k / 2) * z / ((a + k - 1) * (a + k)) END / v, 1.0::DOUBLE) AS part FROM ab),
+pv AS (SELECT sc."group" AS g, gene, score, coalesce(CASE WHEN near THEN 1 - part ELSE part END, 1) AS p FROM sc LEFT JOIN cf ON sc."group" = grp AND gene = gene_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p, gene) AS r, count(*) OVER (PARTITION BY g) AS n FROM pv)"""
+
+
+@query("x6_gene_p_values", f"""
+WITH {P_VALUES} SELECT g AS "group", gene, round(score, 5) AS score, round(p, 6) AS p,
+  round(min(least(1, p * n / r)) OVER (PARTITION BY g ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS p_adjusted FROM rk""")
+def x6_p_values(spark, sf):
+    out = C.rank_genes(counts_long(spark, sf), _types(spark, sf), "cell_type", p_values=True)
+    return out.select("group", "gene", F.round("score", 5).alias("score"), F.round("p", 6).alias("p"), F.round("p_adjusted", 6).alias("p_adjusted"))
+
+
 @query("x7_top_genes", f"""
 WITH {RANKED}, r AS (SELECT "group", gene, score, row_number() OVER (PARTITION BY "group" ORDER BY score DESC, gene) AS rank FROM sc WHERE score IS NOT NULL)
 SELECT "group", gene, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 200""")
