@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cells as C, embed as E
 from ..operators.aggregate import agreement, set_recovery
 from ..operators.classify import read_models, train_together, write_models
+from ..operators.neighbour_graph import neighbour_graph
 from ..session import scratch_path
 from .registry import COUNTS, counts_long, query, rounded, table
 
@@ -199,6 +200,11 @@ def l7(spark, sf):
     return rounded(E.neighbours(table(spark, sf, "embeddings"), "vec_id", "embedding", 5))
 
 
+@query("l7_neighbour_graph")
+def l7_graph(spark, sf):
+    return rounded(neighbour_graph(table(spark, sf, "embeddings"), "vec_id", "embedding", 5))
+
+
 @query("l8_silhouette", """
 WITH p AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2) AS d, count(*) AS n
   FROM embeddings a, embeddings b GROUP BY 1, 2, 3),
