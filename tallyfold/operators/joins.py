@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch_path, write_measured
 
-PRODUCT_SLOTS = 64
+# Rows of a product that one task makes.
+PRODUCT_ROWS = 1_000_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -109,15 +110,23 @@ def spread_first(df: DataFrame, keys: Sequence[str], column: str, order: Sequenc
     )
 
 
-def all_combinations(left: DataFrame, right: DataFrame, slots: int = PRODUCT_SLOTS) -> DataFrame:
+def all_combinations(left: DataFrame, right: DataFrame, slots: int | None = None) -> DataFrame:
     """Every row of `left` with every row of `right`, as an equi-join on slots.
 
-    The left rows are spread over the slots and the right rows are repeated in
-    each, so the work is shared by `slots` tasks whatever the two sizes are.
+    Both sides are written out and counted. The rows of the larger side are
+    spread over the slots and those of the smaller one repeated in each; without
+    `slots` there are as many as it takes for about `PRODUCT_ROWS` rows in each.
     """
-    a = left.withColumn("_slot", F.pmod(F.xxhash64(*left.columns), F.lit(slots)).cast("int"))
-    b = right.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return a.join(b, "_slot").drop("_slot")
+    sides, rows = [], []
+    for df in (left, right):
+        path = scratch_path(df.sparkSession, "side")
+        rows.append(write_measured(df, path, n=F.count(F.lit(1)))["n"])
+        sides.append(df.sparkSession.read.schema(df.schema).parquet(path))
+    slots = slots or max(1, min(max(rows), -(-rows[0] * rows[1] // PRODUCT_ROWS)))
+    large, small = sides if rows[0] >= rows[1] else reversed(sides)
+    spread = large.withColumn("_slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)).cast("int"))
+    repeated = small.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    return spread.join(repeated, "_slot").select(*left.columns, *right.columns)
 
 
 def id_gap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

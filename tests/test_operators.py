@@ -43,6 +43,10 @@ def test_all_combinations_without_cross_join(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert out.distinct().count() == 3500
+    for slots in (1, 7, 200):
+        some = J.all_combinations(b, a, slots)
+        assert some.columns == ["y", "x"] and some.distinct().count() == some.count() == 3500
+    assert J.all_combinations(a, b.limit(0)).count() == J.all_combinations(a.limit(0), b).count() == 0
 
 
 def test_null_safe_join_matches_null(spark, rows):
