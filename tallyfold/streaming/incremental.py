@@ -129,16 +129,45 @@ class VersionedTable:
     Rows lie in one partition per batch. A batch overwrites its own partition
     only, so one that runs again after a failure changes nothing. The checkpoint
     that numbers the batches belongs to the table and lies beside its rows.
+
+    `fold` writes the newest rows of all batches as a base, once some batches
+    have come in since the last one. Batches that a base covers are not read
+    again. A base counts when its number is noted, after it has been written.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]):
         self.spark, self.schema, self.keys = spark, schema, list(keys)
         self.rows, self.checkpoint = f"{path}/rows", f"{path}/checkpoint"
+        self.bases, self.folded = f"{path}/bases", f"{path}/folded"
 
     def read(self) -> DataFrame:
         """One row per key, that of its last batch."""
-        full = StructType([*self.schema.fields, StructField("_version", LongType())])
-        return first_row(_read(self.spark, self.rows, full), self.keys, ["_version"], last=True).select(self.schema.names)
+        base, rows = self._base(), self._later_rows()
+        if base is not None:
+            folded = self.spark.read.schema(self.schema).parquet(f"{self.bases}/{base}")
+            rows = rows.unionByName(folded.withColumn("_version", F.lit(base).cast("long")))
+        return first_row(rows, self.keys, ["_version"], last=True).select(self.schema.names)
+
+    def _base(self) -> int | None:
+        """The last batch that the newest base covers."""
+        noted = _read(self.spark, self.folded, StructType([StructField("version", LongType())]))
+        return noted.agg(F.max("version")).first()[0]
+
+    def _later_rows(self) -> DataFrame:
+        """Rows of the batches after the base. The others' partitions are pruned."""
+        base = self._base()
+        rows = _read(self.spark, self.rows, StructType([*self.schema.fields, StructField("_version", LongType())]))
+        return rows if base is None else rows.where(F.col("_version") > base)
+
+    def fold(self, after: int) -> bool:
+        """Write the next base if `after` batches or more have come in since the last one. Not while a batch is merged."""
+        seen = self._later_rows().agg(F.count_distinct("_version").alias("n"), F.max("_version").alias("last")).first()
+        if seen.n < after or not seen.n:
+            return False
+        self.read().write.mode("overwrite").parquet(f"{self.bases}/{seen.last}")
+        noted = self.spark.createDataFrame([(seen.last,)], "version long")
+        noted.coalesce(1).write.mode("append").parquet(self.folded)
+        return True
 
     def merge(self, incoming: DataFrame, version: int, order_by: Sequence[str]) -> None:
         """Adds the first row by `order_by` of each key of a batch; it replaces what the key had."""
@@ -159,8 +188,12 @@ class VersionedTable:
 
 def follow_files(spark: SparkSession, folder: str, schema: StructType, table: VersionedTable,
                  order_by: Sequence[str], pattern: str = "*.parquet",
-                 prepare: Callable[[DataFrame], DataFrame] = lambda df: df, files_per_batch: int | None = None) -> DataFrame:
-    """Upserts every file that has arrived since the last call, then stops. Returns the table after the last batch."""
+                 prepare: Callable[[DataFrame], DataFrame] = lambda df: df, files_per_batch: int | None = None,
+                 fold_after: int = 8) -> DataFrame:
+    """Upserts every file that has arrived since the last call, then stops. Returns the table after the last batch.
+
+    After `fold_after` batches the table is folded, so a call reads a base and a few batches however many there were.
+    """
     table.check()
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
@@ -174,4 +207,5 @@ def follow_files(spark: SparkSession, folder: str, schema: StructType, table: Ve
         .option("checkpointLocation", table.checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    table.fold(fold_after)
     return table.read()

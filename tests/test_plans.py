@@ -337,3 +337,32 @@ def test_folder_without_a_setting():
     assert session.shared_folder(local) == session.shared_folder(local)
     with pytest.raises(ValueError):
         session.shared_folder(FakeSession("spark://host"))
+
+
+def test_folded_batches_are_not_read_again(spark, rows, tmp_path):
+    schema = StructType([StructField("k", LongType()), StructField("v", StringType())])
+    table = I.VersionedTable(spark, str(tmp_path / "t"), schema, ["k"])
+    inbox, want = str(tmp_path / "inbox"), {}
+
+    def follow(after):
+        return I.follow_files(spark, inbox, schema, table, ["v"], fold_after=after)
+
+    for turn in range(5):
+        new = {turn: f"a{turn}", 100: f"b{turn}"}
+        want |= new
+        spark.createDataFrame(list(new.items()), schema).coalesce(1).write.mode("append").parquet(inbox)
+        assert rows(follow(2)) == sorted(want.items())
+    assert table._base() == 3 and not table.fold(2)
+    # what the base covers can change without being seen; a later batch counts
+    broken = spark.createDataFrame([(0, "broken", 0), (7, "broken", 1)], "k long, v string, _version long")
+    broken.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_version").parquet(table.rows)
+    assert rows(table.read()) == sorted(want.items()) and rows(follow(2)) == sorted(want.items())
+    # a base that was written but not noted does not count, and is written again
+    spark.createDataFrame([(9, "half")], schema).write.parquet(f"{table.bases}/4")
+    assert rows(table.read()) == sorted(want.items())
+    assert table.fold(1) and rows(table.read()) == sorted(want.items()) and table._base() == 4
+
+
+def test_nothing_to_fold(spark, tmp_path):
+    table = I.VersionedTable(spark, str(tmp_path / "t"), StructType([StructField("k", LongType())]), ["k"])
+    assert not table.fold(0) and table.read().count() == 0
