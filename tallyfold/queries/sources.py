@@ -163,9 +163,12 @@ def s10(spark, sf):
     return found.groupBy("accession", "feature", "processing").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-@query("s11_nested_counts", """
+NESTED_SQL = """
 SELECT c_mktsegment AS tissue, o_orderpriority AS label, CAST(count(*) AS BIGINT) AS n
-FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""
+
+
+@query("s11_nested_counts", NESTED_SQL)
 def s11(spark, sf):
     counted = datasets(spark, sf).groupBy("tissue", "tech", "organism").agg(F.count(F.lit(1)).alias("n"))
     path = scratch_path(spark, "nested")
@@ -173,6 +176,18 @@ def s11(spark, sf):
     return nested_counts(files.read_nested_counts(spark, path).withColumnRenamed("outer", "tissue"), "tissue", "counts")
 
 
+@query("s11_whole_files", NESTED_SQL)
+def s11_files(spark, sf):
+    counted = datasets(spark, sf).groupBy("tissue", "tech").agg(F.count(F.lit(1)).alias("n"))
+    maps = counted.groupBy("tissue").agg(F.map_from_entries(F.collect_list(F.struct("tech", "n"))).alias("counts"))
+    path = scratch_path(spark, "files")
+    # one object per file, over several lines
+    text = F.to_json(F.create_map("tissue", "counts"), {"pretty": "true"})
+    maps.select(F.col("tissue").alias("file"), text.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    found = files.read_nested_counts(spark, f"{path}/*", multi_line=True)
+    return nested_counts(found.withColumnRenamed("outer", "tissue"), "tissue", "counts")
+
+
 @query("s12_id_list", """
 SELECT 'SRX' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'""")
 def s12(spark, sf):
