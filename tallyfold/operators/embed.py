@@ -194,16 +194,18 @@ def _probes_for(points: DataFrame, centres: np.ndarray, k: int, least: int, reca
     def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, x, c, places = shared.value
         squares = (c * c).sum(axis=1)
+        best, place = np.full((len(x), k), np.inf), np.zeros((len(x), k), np.int32)
         for pdf in parts:
             for i in range(0, len(pdf), 1024):
                 held, v = pdf["id"].iloc[i:i + 1024].to_numpy(object), np.stack(pdf["v"].iloc[i:i + 1024].to_numpy()).astype(np.float64)
                 home = np.argmin(squares - 2 * v @ c.T, axis=1)
                 far = np.stack([np.sqrt(((v - q) ** 2).sum(axis=1)) for q in x])
                 far[ids[:, None] == held[None]] = np.inf
+                far, at_home = np.hstack([best, far]), np.hstack([place, places[:, home]])
                 at = np.argsort(far, axis=1, kind="stable")[:, :k]
-                best = pd.DataFrame({"row": np.repeat(np.arange(len(x)), at.shape[1]), "far": np.take_along_axis(far, at, axis=1).ravel(),
-                                     "place": np.take_along_axis(places, home[at], axis=1).ravel()})
-                yield best[np.isfinite(best["far"])]
+                best, place = np.take_along_axis(far, at, axis=1), np.take_along_axis(at_home, at, axis=1)
+        kept = pd.DataFrame({"row": np.repeat(np.arange(len(x)), k), "far": best.ravel(), "place": place.ravel()})
+        yield kept[np.isfinite(kept["far"])]
 
     found = points.select("id", "v").mapInPandas(nearest, "row int, far double, place int")
     true = first_n(found, ["row"], [F.col("far"), F.col("place")], k, "rank")
