@@ -113,14 +113,20 @@ def _time_limit(seconds: float | None) -> Iterator[None]:
         signal.signal(signal.SIGALRM, before)
 
 
-def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Parquet rows below a path, none if nothing was written there."""
+def _found(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """Parquet rows below a path, None if nothing was written there."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
+
+
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Parquet rows below a path, none if nothing was written there."""
+    found = _found(spark, path, schema)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 class VersionedTable:
@@ -142,7 +148,8 @@ class VersionedTable:
 
     def read(self) -> DataFrame:
         """One row per key, that of its last batch."""
-        base, rows = self._base(), self._later_rows()
+        base = self._base()
+        rows = self._rows_after(base)
         if base is not None:
             folded = self.spark.read.schema(self.schema).parquet(f"{self.bases}/{base}")
             rows = rows.unionByName(folded.withColumn("_version", F.lit(base).cast("long")))
@@ -150,18 +157,17 @@ class VersionedTable:
 
     def _base(self) -> int | None:
         """The last batch that the newest base covers."""
-        noted = _read(self.spark, self.folded, StructType([StructField("version", LongType())]))
-        return noted.agg(F.max("version")).first()[0]
+        noted = _found(self.spark, self.folded, StructType([StructField("version", LongType())]))
+        return noted.agg(F.max("version")).first()[0] if noted is not None else None
 
-    def _later_rows(self) -> DataFrame:
+    def _rows_after(self, base: int | None) -> DataFrame:
         """Rows of the batches after the base. The others' partitions are pruned."""
-        base = self._base()
         rows = _read(self.spark, self.rows, StructType([*self.schema.fields, StructField("_version", LongType())]))
         return rows if base is None else rows.where(F.col("_version") > base)
 
     def fold(self, after: int) -> bool:
         """Write the next base if `after` batches or more have come in since the last one. Not while a batch is merged."""
-        seen = self._later_rows().agg(F.count_distinct("_version").alias("n"), F.max("_version").alias("last")).first()
+        seen = self._rows_after(self._base()).agg(F.count_distinct("_version").alias("n"), F.max("_version").alias("last")).first()
         if seen.n < after or not seen.n:
             return False
         self.read().write.mode("overwrite").parquet(f"{self.bases}/{seen.last}")
