@@ -387,21 +387,22 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(df: DataFrame, field_: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added)` for each whole text.
+    """`(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, base_email, base_ip, base_card, base_phone)` for each whole text.
 
     `spans` lists what the patterns match and what the field adds, as
-    `kind:start:end` in code points; the counts are those of `spans`, `n_added`
-    is the number that the field added, and the hash is that of the patterns'
-    spans alone. What a pattern matches always stays. A text without a digit or
+    `kind:start:end` in code points; the counts `n_*` are those of `spans`,
+    `n_added` is the number that the field added, and the hash and the counts
+    `base_*` are those of the patterns' spans alone. What a pattern matches always stays. A text without a digit or
     an `@`, also null and empty ones, has no spans. Every row stays, also
     repeated ones and those without an id; other columns are not read. One text
     is held at a time; time and memory grow with its length.
     """
-    counts = [f"n_{k}" for k in KINDS]
-    schema = StructType([*fields(df, id_col), *[StructField(c, LongType()) for c in counts], StructField("base_sha256", StringType()),
-                         StructField("spans", StringType()), StructField("n_added", LongType())])
+    counts, base_counts = ([StructField(f"{of}_{k}", LongType()) for k in KINDS] for of in ("n", "base"))
+    schema = StructType([*fields(df, id_col), *counts, StructField("base_sha256", StringType()),
+                         StructField("spans", StringType()), StructField("n_added", LongType()), *base_counts])
     out = arrow_schema(schema)
-    nothing = 0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0
+    none = (0,) * len(KINDS)
+    nothing = *none, hashlib.sha256(b"").hexdigest(), "", 0, *none
     shared = df.sparkSession.sparkContext.broadcast(field_)
 
     def rows(source) -> Iterator[tuple]:
@@ -414,8 +415,8 @@ def find(df: DataFrame, field_: Field, id_col: str = "doc_id", text_col: str = "
                 base = base_spans(text)
                 more = added_spans(tokens_of(text, base), shared.value)
                 spans = sorted(base + more)
-                kinds = Counter(k for _, k, _ in spans)
+                kinds, of_base = (Counter(k for _, k, _ in found) for found in (spans, base))
                 yield (key, *(kinds[k] for k in range(1, LABELS)), hashlib.sha256(spelled(base).encode()).hexdigest(),
-                       spelled(spans), len(more))
+                       spelled(spans), len(more), *(of_base[k] for k in range(1, LABELS)))
 
-    return df.select(id_col, _texts(df, text_col)).mapInArrow(lambda s: batches(out, rows(s), lambda r: 200 + len(r[-2])), schema)
+    return df.select(id_col, _texts(df, text_col)).mapInArrow(lambda s: batches(out, rows(s), lambda r: 250 + len(r[6])), schema)

@@ -124,3 +124,16 @@ def test_query(spark, sf):
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(spans)
         assert [sum(s.startswith(k) for s in spans) for k in pii.KINDS] == [r.n_email, r.n_ip, r.n_card, r.n_phone]
         assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), pii.KINDS.index(s.split(":")[0]), int(s.split(":")[2])))
+
+
+def test_counts_of_the_query_are_those_of_the_patterns(spark, tmp_path):
+    teach = [f"word +1 ({i % 800 + 200}) 555-{i:04d} word x{i}@mail.example.com, 4{i:05d} and 10.0.{i % 200}.7 v2.{i}" + (
+        f" again +1 ({i % 800 + 200}) 555-{i:04d} or x{i}@mail.example.com" if i % 2 else "") for i in range(300)]
+    docs = dict(enumerate(teach + TEXTS))
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op11_personal_data"](spark, str(tmp_path)).collect()
+    assert sum(r.n_added for r in rows) > 0 and sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        base = [k for _, k, _ in plain(docs[r.doc_id] or "")]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [base.count(k) for k in range(1, pii.LABELS)]
+        assert len(r.spans.split(",") if r.spans else []) == len(base) + r.n_added
