@@ -63,35 +63,46 @@ def isolated(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema
     `work` returns one row per row it gets, with the columns of `schema`;
     `status` and `error` are added. A failing batch, or one that returns another
     number of rows, is halved until the rows at fault stand alone, so the others
-    cost little more than without failures. With a `timeout`, rows are worked on
-    one by one and a row that takes more seconds has failed.
+    cost little more than without failures. What the pieces of a batch return
+    goes on as few frames, however many failed. With a `timeout`, rows are worked
+    on one by one and a row that takes more seconds has failed. Rows are dealt
+    evenly over the tasks first, since a small file may hold a lot of work.
     """
+    spark = df.sparkSession
     full = StructType([*schema.fields, StructField("status", StringType()), StructField("error", StringType())])
     names = [f.name for f in schema.fields]
 
-    def attempt(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def attempt(pdf: pd.DataFrame, good: dict[tuple, list[pd.DataFrame]], bad: list[tuple]) -> None:
         try:
             with _time_limit(timeout):
                 out = work(pdf)[names]
             if len(out) != len(pdf):
                 raise ValueError(f"{len(out)} rows returned for {len(pdf)}")
-            yield out.assign(status="ok", error=None)
+            good.setdefault(tuple(map(str, out.dtypes)), []).append(out)
         except Exception as e:  # whatever one item raises must not end the others
             if len(pdf) > 1:
                 half = len(pdf) // 2
-                yield from attempt(pdf.iloc[:half])
-                yield from attempt(pdf.iloc[half:])
+                attempt(pdf.iloc[:half], good, bad)
+                attempt(pdf.iloc[half:], good, bad)
             else:
-                kept = {n: pdf[n].to_list() if n in pdf.columns else [None] for n in names}
-                yield pd.DataFrame(kept).assign(status="failed", error=f"{type(e).__name__}: {e}")
+                kept = (pdf[n].to_list()[0] if n in pdf.columns else None for n in names)
+                bad.append((*kept, "failed", f"{type(e).__name__}: {e}"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
+            # frames of unlike types stay apart, so that none of them changes its values
+            good: dict[tuple, list[pd.DataFrame]] = {}
+            bad: list[tuple] = []
             step = len(pdf) if timeout is None else 1
             for i in range(0, len(pdf), step or 1):
-                yield from attempt(pdf.iloc[i:i + step])
-
-    return df.mapInPandas(run, full)
+                attempt(pdf.iloc[i:i + step], good, bad)
+            for pieces in good.values():
+                yield pd.concat(pieces, ignore_index=True).assign(status="ok", error=None)
+            if bad:
+                yield pd.DataFrame(dict(zip(full.names, map(list, zip(*bad)))))
+
+    dealt = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(dealt).mapInPandas(run, full)
 
 
 @contextmanager

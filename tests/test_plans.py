@@ -6,6 +6,7 @@ from datetime import datetime
 
 import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -258,6 +259,20 @@ def test_isolated_failures(spark, rows):
     assert out[2][3].startswith("ValueError")
 
 
+def test_isolated_failures_of_one_file_are_spread_and_go_on_in_few_frames(spark, tmp_path):
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        if (pdf["k"] % 50 == 0).any():
+            raise ValueError("fifty")
+        return pd.DataFrame({"k": pdf["k"], "n": pdf["k"] + 2 ** 60, "task": TaskContext.get().partitionId()})
+
+    spark.range(20_000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    schema = StructType([StructField("k", LongType()), StructField("n", LongType()), StructField("task", LongType())])
+    out = I.isolated(spark.read.parquet(f"{tmp_path}/one").withColumnRenamed("id", "k"), work, schema).collect()
+    assert sorted((r.k, r.status) for r in out) == [(k, "ok" if k % 50 else "failed") for k in range(20_000)]
+    assert len({r.task for r in out if r.status == "ok"}) >= 8
+    assert all(r.n == 2 ** 60 + r.k for r in out if r.k % 50) and all(r.error == "ValueError: fifty" for r in out if r.k % 50 == 0)
+
+
 def test_isolated_rows_that_vanish_or_hang(spark, rows):
     def short(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[pdf["k"] != "2"]
