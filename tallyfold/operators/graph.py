@@ -37,7 +37,10 @@ def _doubled(step: DataFrame, max_rounds: int | None) -> DataFrame:
     With all pairs up to a distance of k at hand, a pair between k and 2k apart
     has a node on its way that is exactly k from the start, so only the pairs
     exactly k apart are extended, each by all pairs that begin where it ends.
-    Every round is written to a folder of its own, which keeps its plan short.
+    Few nodes are that far from any start in a hierarchy, so what begins at them
+    is written by itself and joined from memory where it is small. The pairs are
+    dealt by their start, where the longer ones stay and are merged with those
+    known. Every round is written to a folder of its own, which keeps its plan short.
     """
     spark, root = step.sparkSession, scratch_path(step.sparkSession, "closure")
     pairs = step.select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit(1).alias("depth"))
@@ -47,10 +50,13 @@ def _doubled(step: DataFrame, max_rounds: int | None) -> DataFrame:
             raise RuntimeError(f"paths longer than {max_rounds} edges")
         if longest < k:
             return pairs
-        ends = pairs.where(F.col("depth") == k).select("src", F.col("dst").alias("_via"))
-        onward = pairs.select(F.col("src").alias("_via"), "dst", (F.col("depth") + k).alias("depth"))
-        longer = ends.join(onward, "_via").where(F.col("src") != F.col("dst")).select("src", "dst", "depth")
-        nearest = pairs.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth"))
+        vias = materialize(pairs.where(F.col("depth") == k).select(F.col("dst").alias("src")).distinct(), "vias")
+        onward = materialize(pairs.join(vias, "src", "left_semi"), "onward").select(
+            F.col("src").alias("_via"), F.col("dst").alias("_to"), F.col("depth").alias("_further"))
+        known = pairs.repartition("src")
+        longer = known.where(F.col("depth") == k).join(onward, F.col("dst") == F.col("_via")).where(F.col("src") != F.col("_to")).select(
+            "src", F.col("_to").alias("dst"), (F.col("_further") + k).alias("depth"))
+        nearest = known.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth"))
         found = write_measured(nearest, f"{root}/{2 * k}", longest=F.max("depth"))
         pairs = spark.read.schema(nearest.schema).parquet(f"{root}/{2 * k}")
         longest, k = found["longest"] or 0, 2 * k

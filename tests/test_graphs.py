@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import graph as G, ontology as O, spectral as S
 from tallyfold.queries.registry import positioned
+from tallyfold.session import materialize
 
 
 def edge_frame(spark, pairs):
@@ -67,6 +68,24 @@ def test_closure_on_a_long_chain(spark):
     assert out.count() == 22 * 23 // 2 and out.agg(F.max("depth")).first()[0] == 22
 
 
+def test_closure_rounds_shuffle_and_extend_little(spark, monkeypatch):
+    """What is joined onto the pairs of a round begins at the nodes that far from a start, and no other pair."""
+    seen = {}
+
+    def kept(df, label="table"):
+        seen.setdefault(label, []).append(df.count())
+        return materialize(df, label)
+
+    monkeypatch.setattr(G, "materialize", kept)
+    n = 2000
+    out = G.closure(spark.range(1, n).select(F.col("id").alias("child"), F.explode(F.array(
+        F.floor(F.col("id") / 2), F.floor(F.col("id") / 3))).alias("parent")))
+    want = brute_depths([(i, i // d) for i in range(1, n) for d in (2, 3)])
+    assert {(r.src, r.dst): r.depth for r in out.collect()} == want
+    assert len(seen["onward"]) == 4 and all(a <= n // 2 ** 2 ** i for i, a in enumerate(seen["vias"]))
+    assert seen["onward"][-1] < len(want) / 100
+
+
 def test_contraction(spark, rows):
     kept = spark.createDataFrame([("a",), ("d",), ("e",)], "n string")
     out = G.contract(edge_frame(spark, DIAMOND), kept)
