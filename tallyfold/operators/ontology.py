@@ -188,8 +188,10 @@ def term_distance(df: DataFrame, left: str, right: str, edges: DataFrame) -> Dat
 
     0 for equal terms, null where neither is an ancestor of the other.
     """
-    seeds = df.select(F.col(left).alias("t")).union(df.select(right)).distinct()
-    paths = materialize(closure(edges, seeds, few=False), "paths")
+    ends = df.select(F.col(left).alias("src"), F.col(right).alias("dst"))
+    wanted = ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    # all paths are looked at once, and only those that join terms of a row go on
+    paths = materialize(closure(edges).join(materialize(wanted, "wanted"), ["src", "dst"], "left_semi"), "paths")
     up = paths.select(F.col("src").alias(left), F.col("dst").alias(right), F.col("depth").alias("_up"))
     down = paths.select(F.col("dst").alias(left), F.col("src").alias(right), F.col("depth").alias("_down"))
     return (
