@@ -84,3 +84,15 @@ def test_tiny_and_empty(spark):
     assert G.neighbour_graph(few.limit(1), "id", "v", 5).count() == 0
     none = G.neighbour_graph(few.limit(0), "id", "v", 5)
     assert none.count() == 0 and none.columns == ["id", "neighbour", "distance", "rank"]
+
+
+def test_single_precision_travels_as_it_is(spark, monkeypatch):
+    """Vectors of single precision take half the room in groups, and give the graph of the same values in double precision."""
+    seen, compared = [], G._compared
+    monkeypatch.setattr(G, "_compared", lambda groups, best: seen.append(groups.dtypes[0][1]) or compared(groups, best))
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)))], "id long, v array<float>").coalesce(1)
+    single, double = ({(r.id, r.neighbour, r.distance, r["rank"]) for r in G.neighbour_graph(d, "id", "v", 3, turns=2).collect()}
+                      for d in (df, df.withColumn("v", F.col("v").cast("array<double>"))))
+    assert single == double and len(single) == 900
+    assert {t for t in seen if "float" in t} and {t for t in seen if "double" in t}
