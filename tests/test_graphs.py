@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict, deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +247,43 @@ def test_small_graphs(spark):
     assert sorted(r.cluster for r in pair.collect()) == [0, 1]
 
 
+def test_rounds_write_no_tables_and_blocks_do_not_matter(spark, monkeypatch):
+    written, real = [], S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, label: (written.append(label), real(df, label))[1])
+    matrix, _ = planted([40, 30, 20], 0.2, 0.03, 8)
+    edges, found = weighted_frame(spark, matrix), []
+    for rounds, block in ((3, 1000), (12, 1000), (12, 7)):
+        monkeypatch.setattr(S, "BLOCK", block)
+        written.clear()
+        spectrum = S.smallest_eigenvectors(edges, 3, rounds, tolerance=0)
+        vectors = np.array([r.vector for r in sorted(spectrum.vectors.collect(), key=lambda r: r.node)])
+        found.append((len(written), spectrum.values, vectors * np.sign(vectors[0])))
+    assert found[0][0] == found[1][0] == found[2][0] and "wide" not in written
+    assert np.allclose(found[1][1], found[2][1], atol=1e-10) and np.allclose(found[1][2], found[2][2], atol=1e-8)
+
+
+def test_product_in_blocks_sends_the_fewer_rows():
+    """A hub in one block and its leaves in another: the leaves send one sum, the hub one row."""
+    rng = np.random.default_rng(2)
+    matrix = np.triu(rng.random((30, 30)) < 0.08, 1) * rng.random((30, 30))
+    matrix[0, 10:20] = 1.0
+    matrix = matrix + matrix.T
+    blocks = []
+    for b in range(3):
+        place, other = np.nonzero(matrix[10 * b:10 * b + 10])
+        blocks.append(S._wired(b, 10, pa.table({"place": place, "peer": other // 10, "other": other % 10, "weight": matrix[10 * b + place, other]})))
+    v = rng.random((4, 30))
+    came, rows = {b: {} for b in range(3)}, {}
+    for b in range(3):
+        for peer, (name, sent) in S._sent(blocks[b], v[:, 10 * b:10 * b + 10]):
+            came[peer][name], rows[b, peer] = sent, sent.shape[1]
+    out = np.concatenate([S._image(blocks[b], v[:, 10 * b:10 * b + 10], came[b]) for b in range(3)], axis=1)
+    assert np.allclose(out, v @ matrix)
+    for a, b in rows:
+        part = matrix[10 * a:10 * a + 10, 10 * b:10 * b + 10]
+        assert rows[a, b] == rows[b, a] == min((part > 0).any(axis=0).sum(), (part > 0).any(axis=1).sum())
+
+
 def test_silhouette_on_the_graph(spark):
     matrix, own = planted([20, 10, 5, 1], 0.3, 0.1, 6)
     clusters = own.copy()
