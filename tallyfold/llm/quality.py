@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -11,18 +12,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (
-    ArrayType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType)
+    ArrayType, BinaryType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType)
 
-from ..session import materialize
+from ..session import cleared_shuffles, materialize
 from .common import arrow_schema, as_bytes, batches, fields, words_of
 
 #: The model has 2^BITS weights.
 BITS = 18
-#: Labelled rows learnt from, at most: those whose ids have the smallest hashes.
-MAX_ROWS = 20_000
 #: Parts that are trained side by side and averaged after each round; in a round a part goes through its rows PASSES times.
 PARTS, ROUNDS, PASSES = 4, 4, 3
-#: Sums of parts are added up as multiples of 1 / UNIT, so their order does not show.
+#: Labelled rows for which there are PARTS parts; so many more parts as there are more rows, and all rows are learnt from.
+MAX_ROWS = 20_000
+#: Labels that are sent to all tasks; more of them are joined.
+MAX_SENT = 4_000_000
+#: Sums of parts are added up as multiples of 1 / UNIT, so their order does not show; coarser ones where there are more parts.
 UNIT = 2.0 ** 36
 #: What may stand at the end of a word.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
@@ -89,21 +92,58 @@ def probability(margin: float) -> float:
     return float(1.0 / (1.0 + np.exp(-max(-35.0, min(35.0, margin)))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
-                  bits: int = BITS, max_rows: int = MAX_ROWS) -> DataFrame:
-    """`(part, turn, label, places, values)` of at most `max_rows` labelled documents, in a written table.
+def _packed(places: np.ndarray, values: np.ndarray) -> bytes:
+    """A row of features in few bytes: steps between places and numbers of distinct values, bytes of equal place side by side."""
+    some, at = np.unique(values.astype("<f4"), return_inverse=True)
+    numbers = np.stack([np.diff(places, prepend=0), at]).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(len(some).to_bytes(4, "little") + some.tobytes() + numbers.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(packed)
+    start = 4 + 4 * int.from_bytes(raw[:4], "little")
+    steps, at = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=start).reshape(4, -1).T).view("<u4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int64), np.frombuffer(raw, "<f4", len(raw[4:start]) // 4, 4)[at]
 
-    The rows are those whose ids have the smallest hashes. Null ids and labels
-    other than 0 and 1 are left out; a document with both labels counts for
-    each. The chosen labels, of a proven number, are sent to all tasks, so the
-    texts of all other documents never leave their scan.
+
+def _learnt_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bits: int,
+                 max_rows: int | None) -> tuple[DataFrame, int]:
+    """`(part, turn, label, packed)` of the labelled documents, and the number of parts.
+
+    Up to MAX_SENT labels go to all tasks, so that the texts of other documents
+    never leave their scan; more are joined by whatever way Spark finds.
     """
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).distinct()
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "label").limit(max_rows)
-    picked = docs.select(F.col(id_col).alias("_id"), as_bytes(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-    picked = picked.select(F.pmod(F.xxhash64("_id"), F.lit(PARTS)).cast("int").alias("part"),
-                           F.xxhash64("_id", F.lit(1)).alias("turn"), "label", "text")
+    if max_rows is not None:
+        chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "label").limit(max_rows)
+    chosen = materialize(chosen, "labels")
+    chosen = F.broadcast(chosen) if chosen.count() <= MAX_SENT else chosen
+    picked = docs.select(F.col(id_col).alias("_id"), as_bytes(text_col).alias("text")).join(chosen, "_id")
+    picked = picked.select(F.xxhash64("_id").alias("spot"), F.xxhash64("_id", F.lit(1)).alias("turn"), "label", "text")
+    schema = StructType([StructField("spot", LongType()), StructField("turn", LongType()), StructField("label", IntegerType()),
+                         StructField("packed", BinaryType())])
+    out = arrow_schema(schema)
+
+    def rows(source) -> Iterator[tuple]:
+        for batch in source:
+            spot, turn, label, texts = batch.columns
+            for p, t, y, text in zip(spot.to_pylist(), turn.to_pylist(), label.to_pylist(), texts):
+                yield p, t, y, _packed(*features(text.as_py(), bits))
+
+    table = materialize(picked.mapInArrow(lambda s: batches(out, rows(s), lambda r: 60 + len(r[3])), schema), "features")
+    parts = PARTS * max(1, math.ceil(table.count() / MAX_ROWS))
+    return table.select(F.pmod("spot", F.lit(parts)).cast("int").alias("part"), "turn", "label", "packed"), parts
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
+                  bits: int = BITS, max_rows: int | None = None) -> DataFrame:
+    """`(part, turn, label, places, values)` of all labelled documents, or of `max_rows` whose ids have the smallest hashes.
+
+    Null ids and labels other than 0 and 1 are left out; a document with both
+    labels counts for each.
+    """
+    table, _ = _learnt_from(docs, labels, id_col, text_col, label_col, bits, max_rows)
     schema = StructType([
         StructField("part", IntegerType()), StructField("turn", LongType()), StructField("label", IntegerType()),
         StructField("places", ArrayType(IntegerType())), StructField("values", ArrayType(FloatType()))])
@@ -111,12 +151,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
     def rows(source) -> Iterator[tuple]:
         for batch in source:
-            part, turn, label, texts = batch.columns
-            for p, t, y, text in zip(part.to_pylist(), turn.to_pylist(), label.to_pylist(), texts):
-                places, values = features(text.as_py(), bits)
-                yield p, t, y, places, values
+            for *others, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                yield *others, *_unpacked(packed)
 
-    return materialize(picked.mapInArrow(lambda s: batches(out, rows(s), lambda r: 40 + 8 * len(r[3])), schema), "features")
+    return table.mapInArrow(lambda s: batches(out, rows(s), lambda r: 40 + 8 * len(r[3])), schema)
 
 
 def _trained(size: int, rule: Rule, state) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -125,7 +163,8 @@ def _trained(size: int, rule: Rule, state) -> Callable[[pd.DataFrame], pd.DataFr
     def one_part(rows: pd.DataFrame) -> pd.DataFrame:
         z, n = (x.copy() for x in state.value)
         touched = np.zeros(size, bool)
-        ordered = list(rows.sort_values(["turn", "label"])[["label", "places", "values"]].itertuples(index=False))
+        ordered = rows.sort_values(["turn", "label"])
+        ordered = [(label, *_unpacked(packed)) for label, packed in zip(ordered["label"], ordered["packed"])]
         for label, places, values in ordered * PASSES:
             w = rule.weights(z[places], n[places])
             g = (probability(float(w @ values)) - label) * values
@@ -140,28 +179,32 @@ def _trained(size: int, rule: Rule, state) -> Callable[[pd.DataFrame], pd.DataFr
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          bits: int = BITS, max_rows: int = MAX_ROWS, rounds: int = ROUNDS, rule: Rule = Rule()) -> np.ndarray:
+          bits: int = BITS, max_rows: int | None = None, rounds: int = ROUNDS, rule: Rule = Rule()) -> np.ndarray:
     """2^bits weights, the last one the bias. Without a labelled document all are zero and every score is 0.5.
 
-    The rows fall into PARTS parts by the hash of their id. In each round every
-    part goes through its rows in a fixed order, PASSES times, updating its own copy of the
-    state, and the states are averaged; the result does not depend on the
-    number of tasks. A part holds at most its share of `max_rows` documents,
-    and the driver 2^bits sums.
+    It learns from all labelled documents, unless `max_rows` is given. The rows
+    fall into parts by the hash of their id, PARTS of them for each MAX_ROWS
+    rows. In each round every part goes through its rows in a fixed order,
+    PASSES times, updating its own copy of the state, and the states are
+    averaged; the result does not depend on the number of tasks. A part holds
+    its rows, about MAX_ROWS / PARTS, and the driver 2^bits sums.
     """
-    table = training_rows(docs, labels, id_col, text_col, label_col, bits, max_rows)
     size = 1 << bits
     z, n = np.zeros(size), np.zeros(size)
     schema = StructType([StructField("place", IntegerType()), StructField("z", DoubleType()), StructField("n", DoubleType())])
-    for _ in range(rounds):
-        state = table.sparkSession.sparkContext.broadcast((z, n))
-        summed = [F.sum(F.round(F.col(c) * UNIT).cast("long")).alias(c) for c in ("z", "n")]
-        moved = table.groupBy("part").applyInPandas(_trained(size, rule, state), schema).groupBy("place").agg(*summed).toArrow()
-        # places that a part has not seen keep their state, so the mean is over the parts that moved them at most
-        at = moved["place"].to_numpy()
-        z[at] += moved["z"].to_numpy() / (UNIT * PARTS)
-        n[at] += moved["n"].to_numpy() / (UNIT * PARTS)
-        state.unpersist()
+    with cleared_shuffles(docs.sparkSession):
+        table, parts = _learnt_from(docs, labels, id_col, text_col, label_col, bits, max_rows)
+        unit = UNIT * PARTS / parts
+        summed = [F.sum(F.round(F.col(c) * unit).cast("long")).alias(c) for c in ("z", "n")]
+        for _ in range(rounds):
+            state = table.sparkSession.sparkContext.broadcast((z, n))
+            moved = table.groupBy("part").applyInPandas(_trained(size, rule, state), schema)
+            moved = moved.groupBy("place").agg(*summed, F.count(F.lit(1)).alias("parts")).toArrow()
+            # the mean is over the parts that moved a place, PARTS of them at least; so a place that few have seen keeps its state
+            at, of = moved["place"].to_numpy(), np.maximum(moved["parts"].to_numpy(), PARTS) * unit
+            z[at] += moved["z"].to_numpy() / of
+            n[at] += moved["n"].to_numpy() / of
+            state.unpersist()
     return rule.weights(z, n)
 
 

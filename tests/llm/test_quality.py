@@ -93,3 +93,37 @@ def test_updates_against_a_plain_loop(spark, sf):
         want[i] = w
     assert np.count_nonzero(want) > 100 and np.count_nonzero(want == 0) > 0
     assert np.allclose(got, want, atol=1e-5)
+
+
+def test_all_labelled_rows_are_learnt_from(spark):
+    n = quality.MAX_ROWS + 500
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('text ', id % 7) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    rows = quality.training_rows(docs, labels, "doc_id", "text", "quality")
+    assert rows.count() == n and rows.select("part").distinct().count() == 2 * quality.PARTS
+
+
+def test_more_parts_against_a_plain_loop(spark, sf, monkeypatch):
+    """More rows are more parts; a place moves by the mean over the parts that have it, or over PARTS if they are fewer."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(quality, "MAX_ROWS", 30)
+    rule = quality.Rule()
+    rows = quality.training_rows(docs, labels, "doc_id", "text", "quality").collect()
+    assert len({r.part for r in rows}) > 2 * quality.PARTS
+    z, n, seen = defaultdict(float), defaultdict(float), defaultdict(int)
+    for part in {r.part for r in rows}:
+        own_z, own_n = defaultdict(float), defaultdict(float)
+        for r in sorted((r for r in rows if r.part == part), key=lambda r: (r.turn, r.label)) * quality.PASSES:
+            w = {i: plain_weight(rule, own_z[i], own_n[i]) for i in r.places}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(r.places, r["values"]))))
+            for i, v in zip(r.places, r["values"]):
+                g = (p - r.label) * v
+                own_z[i] += g - (math.sqrt(own_n[i] + g * g) - math.sqrt(own_n[i])) / rule.alpha * w[i]
+                own_n[i] += g * g
+        for i in own_z:
+            z[i], n[i], seen[i] = z[i] + own_z[i], n[i] + own_n[i], seen[i] + 1
+    got, want = quality.train(docs, labels, rounds=1), np.zeros(1 << quality.BITS)
+    for i in z:
+        of = max(seen[i], quality.PARTS)
+        want[i] = plain_weight(rule, z[i] / of, n[i] / of)
+    assert np.count_nonzero(want) > 100 and np.allclose(got, want, atol=1e-5)
