@@ -21,14 +21,15 @@ from .common import Spans, arrow_schema, as_bytes, batches, fields, spans_of, wo
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints have 128 bits in blocks of 16, and a block finds the items that differ in BALL of its bits or fewer: one
 #: pair of unrelated fingerprints in 59. Two fingerprints that differ in RADIUS bits or fewer always meet so. Windows of
-#: similarity 0.8 differ in about 19 bits, 2.4 of a block, and one in 750 of them meets in no block.
+#: similarity 0.8 differ in about 19 bits, 2.4 of a block, and one in 750 of them meets in no block; these are found by the
+#: number of their shingles that an item has.
 BLOCKS, BALL = 8, 2
 RADIUS = BLOCKS * (BALL + 1) - 1
 _BALL_MASKS = np.array([m for m in range(1 << 16) if m.bit_count() <= BALL], np.uint16)
 #: Bytes of item text that are sent to the tasks at once; a larger benchmark takes several passes over the documents.
 MAX_ITEM_BYTES = 16 << 20
-#: Hashes of words that a worker remembers, and windows that are looked at in one go.
-REMEMBERED, AT_ONCE = 50_000, 2048
+#: Hashes of words that a worker remembers, windows that are looked at in one go, and pairs of places and items, about.
+REMEMBERED, AT_ONCE, HELD = 50_000, 2048, 1_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,6 +117,8 @@ class SizeTable:
             order = np.argsort(values, kind="stable")
             self.values.append(values[order])
             self.items_at.append((order // len(_BALL_MASKS)).astype(np.int32))
+        pairs = np.unique(np.array([(h, i) for i, item in enumerate(items) for h in item.hashes.tolist()], np.uint64), axis=0)
+        self.known, self.of = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int64)
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows, items and distances of all pairs that meet in a block, by distance, then by window."""
@@ -124,13 +127,51 @@ class SizeTable:
             first = np.searchsorted(self.values[b], prints[:, b])
             n = np.searchsorted(self.values[b], prints[:, b], side="right") - first
             window = np.repeat(np.arange(len(prints)), n)
-            within = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(window * len(self.items) + self.items_at[b][np.repeat(first, n) + within])
+            pairs.append(window * len(self.items) + self.items_at[b][_ranges(first, n)])
         window, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
         distance = np.bitwise_count(prints[window] ^ self.prints[item]).sum(axis=1, dtype=np.int64)
         order = np.lexsort((window, distance))
         return window[order], item[order], distance[order]
 
+    def crowded(self, places: np.ndarray, runs: np.ndarray, threshold: float) -> set[tuple[int, int]]:
+        """Starts and items of all windows with so many shingles of an item that they may reach the threshold.
+
+        `places` are all runs that an item of this size has, in order. Any other
+        pair shares fewer shingles, so it does not reach the threshold.
+        """
+        shingles = min(self.shingles, len(runs))
+        need = max(1, math.ceil(threshold * (shingles + self.shingles) / (1 + threshold) - 1e-9))
+        if len(places) < need:
+            return set()
+        first = np.searchsorted(self.known, runs[places])
+        n = np.searchsorted(self.known, runs[places], side="right") - first
+        counts, held = np.zeros(len(self.items), np.int64), []
+        # a shingle may be one of very many items, so only those of items that have enough places are held
+        cuts = np.searchsorted(np.cumsum(n), np.arange(HELD, n.sum(), HELD))
+        blocks = list(zip(*(np.split(x, cuts) for x in (places, first, n))))
+        for _, start, size in blocks:
+            counts += np.bincount(self.of[_ranges(start, size)], minlength=len(counts))
+        enough = counts >= need
+        if not enough.any():
+            return set()
+        for place, start, size in blocks:
+            item = self.of[_ranges(start, size)]
+            kept = np.flatnonzero(enough[item])
+            held.append((item[kept], np.repeat(place, size)[kept]))
+        item, place = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        to = np.arange(need - 1, len(place))
+        at = np.flatnonzero((item[to] == item[to - need + 1]) & (place[to] - place[to - need + 1] < shingles))
+        low = np.maximum(0, place[to[at]] - shingles + 1)
+        high = np.minimum(place[at], max(0, len(runs) - shingles))
+        return {(s, i) for a, b, i in zip(low.tolist(), high.tolist(), item[at].tolist()) for s in range(a, b + 1)}
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """`n` numbers from `first` on, for each of them."""
+    return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
 
 class Index:
     """Items by size, and the shingles that any of them has."""
@@ -148,8 +189,8 @@ class Index:
             marks[(pairs[:, 0] >> np.uint64(64 - bits)).astype(np.int64)] = True
             self.shingles[size] = (pairs[:, 0], pairs[:, 1].astype(np.int64), marks)
 
-    def starts(self, hashes: dict[int, np.ndarray], total: int) -> Iterator[tuple[SizeTable, np.ndarray]]:
-        """For each size the starts of its windows that hold a shingle of an item of that size.
+    def starts(self, hashes: dict[int, np.ndarray], total: int) -> Iterator[tuple[SizeTable, np.ndarray, np.ndarray]]:
+        """For each size the starts of its windows that hold a shingle of an item of that size, and the places of these shingles.
 
         Other windows have no shingle in common with any such item, so their similarity is zero.
         """
@@ -168,7 +209,7 @@ class Index:
             p = np.array(places)
             np.add.at(change, np.clip(p - table.shingles + 1, 0, last), 1)
             np.add.at(change, np.clip(p, 0, last) + 1, -1)
-            yield table, np.flatnonzero(np.cumsum(change)[:-1] > 0)
+            yield table, np.flatnonzero(np.cumsum(change)[:-1] > 0), p
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -185,24 +226,34 @@ def matches(text: bytes | None, index: Index, threshold: float) -> Iterator[tupl
     one = word_hashes(words)
     hashes = {size: run_hashes(one, size) for size in index.shingles}
     spans: Spans | None = None
-    for table, starts in index.starts(hashes, len(words)):
-        spans = spans or spans_of(words)
+    for table, starts, places in index.starts(hashes, len(words)):
         runs = hashes[table.shingle]
         shingles = min(table.shingles, len(runs))
+        left = table.crowded(places, runs, threshold)
+        spans = spans or spans_of(words)
         best: dict[int, tuple] = {}
+
+        def look(start: int, item: int, distance: int) -> None:
+            if best.get(item, (0,))[0] == 1.0:
+                return
+            own = Counter(_window(spans, start, min(start + table.words, len(words)), table.shingle))
+            value = similarity(own, table.items[item].counts)
+            if value >= threshold and (value, -start) > best.get(item, (0, 0))[:2]:
+                best[item] = value, -start, distance
+
         for part in np.split(starts, np.arange(AT_ONCE, len(starts), AT_ONCE)):
             # windows of one stretch share their sums; a stretch ends where the starts have a gap
             for stretch in np.split(part, np.flatnonzero(np.diff(part) > shingles) + 1):
                 first = int(stretch[0])
                 prints = window_fingerprints(runs[first:int(stretch[-1]) + shingles], shingles)[stretch - first]
                 for window, item, distance in zip(*(x.tolist() for x in table.candidates(prints))):
-                    if best.get(item, (0,))[0] == 1.0:
-                        continue
                     start = int(stretch[window])
-                    own = Counter(_window(spans, start, min(start + table.words, len(words)), table.shingle))
-                    value = similarity(own, table.items[item].counts)
-                    if value >= threshold and (value, -start) > best.get(item, (0, 0))[:2]:
-                        best[item] = value, -start, distance
+                    left.discard((start, item))
+                    look(start, item, distance)
+        # those that met in no block
+        for start, item in sorted(left):
+            own = window_fingerprints(runs[start:start + shingles], shingles)
+            look(start, item, int(np.bitwise_count(own ^ table.prints[item]).sum()))
         for item, (value, start, distance) in sorted(best.items()):
             yield table.items[item].item_id, -start, min(table.words, len(words)), distance, value
 
@@ -233,8 +284,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A window has as many words as the item (all words, where the document has
     fewer). Windows are formed wherever a document has a shingle of an item of
     their size; their fingerprints find the items that come close in a block, and
-    the similarity of the shingles, with their counts, decides. Ties go to the first
-    window. Items shorter than a shingle are matched as a whole.
+    the similarity of the shingles, with their counts, decides. Windows that have
+    enough shingles of an item, but meet it in no block, are compared as well, so
+    none is missed. Ties go to the first window. Items shorter than a shingle are matched as a whole.
 
     The items are an index in every task, and documents are read where they
     lie, whole and without a shuffle. A benchmark of more than `max_item_bytes`

@@ -103,7 +103,7 @@ def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zlib.decompress(packed)
     start = 4 + 4 * int.from_bytes(raw[:4], "little")
     steps, at = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=start).reshape(4, -1).T).view("<u4").reshape(2, -1)
-    return np.cumsum(steps, dtype=np.int64), np.frombuffer(raw, "<f4", len(raw[4:start]) // 4, 4)[at]
+    return np.cumsum(steps, dtype=np.int32), np.frombuffer(raw, "<f4", len(raw[4:start]) // 4, 4)[at]
 
 
 def _learnt_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bits: int,

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tallyfold.llm import decontaminate
 from tallyfold.llm.decontaminate import BLOCKS, RADIUS, Index, Item, SizeTable, contaminated, matches, similarity, without_passages
 from tallyfold.llm.queries import QUERIES
 
@@ -127,3 +128,35 @@ def test_query(spark, sf):
     near = {k: t for k, t in docs.items() if any(" ".join(t.lower().split()).find(" ".join(i.lower().split()[3:6])) >= 0 for i in items.values())}
     want = {k: {i: v for i, (v, _) in f.items()} for k in {*near, *got} if (f := plain(docs[k], items))}
     assert vocabulary and got == want and got
+
+
+def test_windows_that_meet_in_no_block_are_found():
+    """Texts whose similarity reaches the threshold, though their fingerprints are too far apart in every block."""
+    rng, missed = random.Random(8), 0
+    for trial in range(6000):
+        words = [f"{rng.random()}" for _ in range(60)]
+        other = list(words)
+        other[20:22] = ["x", "y"]
+        a, b = (Item.of(0, " ".join(w).encode(), 5) for w in (words, other))
+        assert similarity(a.counts, b.counts) >= 0.8
+        if not len(SizeTable([a]).candidates(SizeTable([b]).prints)[0]):
+            missed += 1
+            text = " ".join(["before", "it", *other, "after"]).encode()
+            found = [(i, start) for i, start, *_ in matches(text, Index([a]), 0.8)]
+            assert found == [(0, 2)]
+    assert missed > 2
+
+
+def test_windows_with_enough_shingles_are_those_of_a_plain_count(monkeypatch):
+    monkeypatch.setattr(decontaminate, "HELD", 20)
+    rng = random.Random(2)
+    for trial in range(100):
+        items = [Item.of(i, " ".join(rng.choices("abc", k=8)).encode(), 5) for i in range(6)]
+        table = SizeTable(items)
+        runs = Item.of(0, " ".join(rng.choices("abc", k=rng.choice([6, 8, 40]))).encode(), 5).hashes
+        places = np.flatnonzero(np.isin(runs, table.known))
+        shingles = min(table.shingles, len(runs))
+        need = np.ceil(0.8 * (shingles + table.shingles) / 1.8 - 1e-9)
+        want = {(s, i) for i, item in enumerate(items) for s in range(len(runs) - shingles + 1)
+                if np.isin(runs[s:s + shingles], item.hashes).sum() >= need}
+        assert table.crowded(places, runs, 0.8) == want
