@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -154,24 +155,58 @@ def nearest_mean_models(df: DataFrame, part: str, features: str, label: str) ->
     return models
 
 
-def _nearest_in_block(k: int):
-    """The k rows of a block that lie nearest to each row that asks."""
+def _nearest_in_block(k: int, products: int = 1 << 22, gaps: int = 1 << 17):
+    """The k rows of a block that lie nearest to each row that asks; ties go to the smaller id.
+
+    Products of matrices tell which rows may be among them, with room for
+    their rounding, and the distances of these are computed one by one.
+    """
+
+    def usable(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        finite = np.isfinite(x).all(axis=1)
+        return pdf["id"].to_numpy()[finite], x[finite]
 
     def compare(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"id": asking["id"].iloc[:0], "neighbour": held["id"].iloc[:0], "distance": np.zeros(0)})
         if not len(held) or not len(asking):
             return empty
-        held = held.sort_values("id", ignore_index=True)
-        ids, x = held["id"].to_numpy(), np.stack(held["v"].to_numpy()).astype(np.float64)
+        (ids, x), (asked, y) = usable(held.sort_values("id", ignore_index=True)), usable(asking)
+        if not len(ids) or not len(asked):
+            return empty
+        first, last = np.searchsorted(ids, asked), np.searchsorted(ids, asked, side="right")
+        with np.errstate(over="ignore", invalid="ignore"):
+            squares, own = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            slack = 1e-15 * (x.shape[1] + 2) * (own + 2 * squares.max())
+        told = np.isfinite(slack)
+        # columns that stand for no row fill up the ranges, whose minima bound the k-th smallest product
+        ranges = min(len(ids), max(128, 4 * k))
+        width = -(-len(ids) // ranges)
+        columns = np.zeros((x.shape[1] + 1, ranges * width))
+        columns[:-1, :len(ids)], columns[-1] = -2 * x.T, np.inf
+        columns[-1, :len(ids)] = squares
         parts = []
-        for i in range(0, len(asking), 16):
-            some = asking.iloc[i:i + 16]
-            gap = np.stack(some["v"].to_numpy()).astype(np.float64)[:, None] - x[None]
-            far = np.sqrt(np.einsum("abj,abj->ab", gap, gap))
-            far[some["id"].to_numpy()[:, None] == ids[None]] = np.inf
-            at = np.argsort(far, axis=1, kind="stable")[:, :k]
-            parts.append(pd.DataFrame({"id": np.repeat(some["id"].to_numpy(), at.shape[1]), "neighbour": ids[at.ravel()],
-                                       "distance": np.take_along_axis(far, at, axis=1).ravel()}))
+        for i in range(0, len(asked), max(1, products // columns.shape[1])):
+            part = slice(i, i + max(1, products // columns.shape[1]))
+            some = y[part]
+            if told[part].all():
+                far = np.column_stack([some, np.ones(len(some))]) @ columns
+            else:
+                far = np.tile(np.where(np.arange(columns.shape[1]) < len(ids), 0.0, np.inf), (len(some), 1))
+            for row in np.flatnonzero(last[part] > first[part]):
+                far[row, first[i + row]:last[i + row]] = np.inf
+            bound = np.full(len(some), np.inf)
+            if ranges >= k:
+                bound = np.partition(far.reshape(len(some), ranges, width).min(axis=2), k - 1, axis=1)[:, k - 1] + slack[part]
+            row, at = np.divmod(np.flatnonzero(far <= np.where(bound < np.inf, bound, np.finfo(float).max)[:, None]), columns.shape[1])
+            exact = np.zeros(len(row))
+            for j in range(0, len(row), gaps):
+                gap = some[row[j:j + gaps]] - x[at[j:j + gaps]]
+                exact[j:j + gaps] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+            order = np.lexsort((at, exact, row))
+            row, at, exact = row[order], at[order], exact[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            parts.append(pd.DataFrame({"id": asked[part][row[best]], "neighbour": ids[at[best]], "distance": exact[best]}))
         near = pd.concat(parts)
         return near[np.isfinite(near["distance"])]
 
@@ -217,30 +252,37 @@ def _probes_for(points: DataFrame, centres: np.ndarray, k: int, least: int, reca
     return max(least, int(np.searchsorted(np.cumsum(by_place), recall * by_place.sum())) + 1)
 
 
-def _cells(points: DataFrame, cells: int, k: int, probes: int, recall: float, asked: int, sample: int, seed: int, n: int) -> DataFrame:
-    """`(id, v, home, near)`: the nearest centre of each row and its nearest ones, `probes` or as many as the recall takes."""
+def _cells(points: DataFrame, cells: int, k: int, probes: int, recall: float, asked: int, sample: int, seed: int, n: int,
+           regions: int) -> tuple[DataFrame, bool]:
+    """`(id, v, home, near)`: the nearest centre of each row and its nearest ones, `probes` or as many as the recall takes.
+
+    Where these are more than `regions`, cells are put together to so many
+    regions; true if they are. Rows then look into whole regions.
+    """
     if cells == 1:
-        return points.select("id", "v", F.lit(0).alias("home"), F.array(F.lit(0)).alias("near"))
+        return points.select("id", "v", F.lit(0).alias("home"), F.array(F.lit(0)).alias("near")), False
     share = min(1.0, sample / n)
     picked = points.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     fitted = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="x").fit(picked.select(array_to_vector("v").alias("x")))
     found = np.array(fitted.clusterCenters())
     if len(found) > probes:
         probes = min(len(found), _probes_for(points, found, k, probes, recall, asked, seed))
-    centres = points.sparkSession.sparkContext.broadcast(found)
+    centres, wide = points.sparkSession.sparkContext.broadcast(found), probes > regions
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = centres.value
         squares = (c * c).sum(axis=1)
+        region = np.arange(len(c)) * regions // len(c) if wide else np.arange(len(c))
         for pdf in parts:
             near = []
             for i in range(0, len(pdf), 256):
                 x = np.stack(pdf["v"].iloc[i:i + 256].to_numpy()).astype(np.float64)
-                near += np.argsort(squares - 2 * x @ c.T, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist()
-            yield pdf.assign(home=[int(r[0]) for r in near], near=near)
+                at = region[np.argsort(squares - 2 * x @ c.T, axis=1, kind="stable")[:, :probes]]
+                near += [list(dict.fromkeys(r)) for r in at.tolist()]
+            yield pdf.assign(home=[r[0] for r in near], near=near)
 
     return points.mapInPandas(place, StructType([*points.schema.fields, StructField("home", IntegerType()),
-                                                 StructField("near", ArrayType(IntegerType()))]))
+                                                 StructField("near", ArrayType(IntegerType()))])), wide
 
 
 def neighbours(df: DataFrame, id_col: str, vector: str, k: int, cell_rows: int = 1024, probes: int = 8,
@@ -256,12 +298,18 @@ def neighbours(df: DataFrame, id_col: str, vector: str, k: int, cell_rows: int =
     Tables of up to `cell_rows * probes` rows are compared in full. The centres (at most `max_cells`, which bounds what is
     sent to the tasks) are fitted on about `sample` rows. Large cells are split
     into blocks, and so are the rows that ask them: a task holds one block of
-    each, and every block is met. Rows with a null id or vector take no part.
+    each, and every block is met. Where cells tell little, so that a row has to
+    look into more cells than there would be regions of up to 8 blocks, it looks
+    into whole regions: it travels once for each, and finds no fewer rows; the
+    comparisons, by products of matrices, grow with the square of the table.
+    Rows with a null id or vector take no part.
     """
     points = materialize(df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null"), "points")
     n = points.count()
     cells = max(1, min(max_cells, round(n / cell_rows)))
-    placed = materialize(_cells(points, cells, k, min(probes, cells), recall, asked, sample, seed, n), "placed")
+    region = min(8 * block, max(block, n // 12))
+    placed, wide = _cells(points, cells, k, min(probes, cells), recall, asked, sample, seed, n, max(1, math.ceil(n / region)))
+    placed, block = materialize(placed, "placed"), region if wide else block
     sizes = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     asked = placed.select("id", "v", F.explode("near").alias("cell"))
     loads = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("pieces"))

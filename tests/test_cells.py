@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.operators import cells as C, embed as E
+from tallyfold.session import materialize
 
 
 def planted(n=60, genes=12, seed=0):
@@ -183,3 +184,38 @@ def test_silhouette_of_separated_clusters(spark):
 def test_identifiers(spark):
     df = spark.createDataFrame([("TSP4_Lung12_S3_x_GeneFull_Ex50pAS", "ACGT")], "d string, b string")
     assert tuple(df.select(E.cell_identifier("d", "b"), E.tissue_from_name("d")).first()) == ("TSP4_Lung12_x_ACGT", "lung")
+
+
+def test_nearest_in_a_block_against_plain_distances():
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        n, m, k, width = rng.integers(1, 300), rng.integers(1, 60), int(rng.integers(1, 9)), int(rng.integers(1, 6))
+        x = rng.integers(0, 3, (n, width)) * 10.0 ** rng.integers(-3, 4) + (1e6 if trial % 3 == 0 else 0)
+        if trial % 4 == 1:
+            x[rng.integers(0, n)] = np.nan
+        if trial % 8 == 3:
+            x[0] = 1e200
+        ids = rng.permutation(n) if trial % 5 else rng.integers(0, n, n)
+        asked = rng.integers(0, n, m)
+        held, asking = (pd.DataFrame({"id": ids[at], "v": list(x[at])}) for at in (np.arange(n), asked))
+        got = E._nearest_in_block(k, products=1000, gaps=50)(held, asking)
+        want = []
+        with np.errstate(over="ignore", invalid="ignore"):
+            for a in asked:
+                far = np.sqrt(((x[a] - x) ** 2).sum(1))
+                rows = sorted((d, j) for d, j in zip(far, ids) if np.isfinite(d) and j != ids[a])
+                want += [(ids[a], j, d) for d, j in rows[:k]]
+        assert sorted((r.id, r.neighbour, round(r.distance, 9)) for r in got.itertuples()) == sorted((i, j, round(d, 9)) for i, j, d in want)
+
+
+def test_rows_travel_once_to_a_region_where_cells_tell_little(spark, sf, monkeypatch):
+    rows, kept = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding"), {}
+
+    def noted(df, label):
+        kept[label] = materialize(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(E, "materialize", noted)
+    found = E.neighbours(rows, "vec_id", "embedding", 5, cell_rows=20, probes=2, block=50)
+    n = rows.count()
+    assert found.count() == 5 * n and kept["placed"].agg(F.sum(F.size("near"))).first()[0] <= n * n / 50
