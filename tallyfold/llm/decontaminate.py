@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..session import materialize
-from .common import Spans, arrow_schema, as_bytes, batches, fields, spans_of, words_of
+from .common import Spans, arrow_schema, as_bytes, batches, distinct, fields, spans_of, words_of
 
 #: Words in a shingle, and the similarity from which a window counts as a copy of an item.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -128,7 +128,7 @@ class SizeTable:
             n = np.searchsorted(self.values[b], prints[:, b], side="right") - first
             window = np.repeat(np.arange(len(prints)), n)
             pairs.append(window * len(self.items) + self.items_at[b][_ranges(first, n)])
-        window, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
+        window, item = np.divmod(distinct(np.concatenate(pairs)), len(self.items))
         distance = np.bitwise_count(prints[window] ^ self.prints[item]).sum(axis=1, dtype=np.int64)
         order = np.lexsort((window, distance))
         return window[order], item[order], distance[order]
